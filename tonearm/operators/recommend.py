@@ -28,6 +28,7 @@ from tonearm.functions.style import Styles
 from tonearm.functions.vectors import unit
 from tonearm.operators import blocks, kernels
 from tonearm.operators.library import pair_up
+from tonearm.session import materialize
 
 SCOPES = ("strict", "nearby", "open")
 TOP_SCHEMA = ("request_id string, track_id string, identity string, artist_key string, hybrid_score double, "
@@ -104,9 +105,12 @@ def candidate_blocks(prepared: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -
 def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k: int = 12, weights=None,
               genre_scope: str = "nearby", vibe_lock: bool = True, taste: DataFrame | None = None,
               averse: DataFrame | None = None, seen: DataFrame | None = None, dialect: str = "hosted",
-              styles: Styles | None = None, themes=None, candidates: DataFrame | None = None,
+              styles: Styles | None = None, themes=None, blocked: DataFrame | None = None,
               block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """Top-k per request: request_id, anchor_id, track_id, rank, hybrid_score and the three parts."""
+    """Top-k per request: request_id, anchor_id, track_id, rank, hybrid_score and the three parts.
+
+    ``blocked`` is a stored result of ``candidate_blocks`` (of the library or of a part of it).
+    """
     if mode not in tx.MODE_WEIGHTS or mode == "transition":
         raise ValueError(f"unknown mode {mode}")
     if genre_scope not in SCOPES:
@@ -114,7 +118,7 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
     k = max(1, min(50, int(k)))
     chosen = check_weights(weights) if mode == "similar" and weights else tx.MODE_WEIGHTS[mode]
     styles = styles or Styles(dialect=dialect)
-    cands = candidate_blocks(prepared if candidates is None else candidates, block_rows)
+    cands = materialize(candidate_blocks(prepared, block_rows)) if blocked is None else blocked
     personal = "user_id" in requests.columns
     group = F.concat(F.lit("u"), F.col("user_id").cast("string")) if personal else F.lit("~")
 

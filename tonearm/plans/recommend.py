@@ -85,7 +85,7 @@ def show(c, top):
 def _mode(mode):
     @query(f"q_recommend_{mode}", sql=mode_sql(mode))
     def run(c):
-        return show(c, rec.top_lists(anchors(c), c.prepared, mode, k=12, themes=CHECK_THEMES))
+        return show(c, rec.top_lists(anchors(c), c.prepared, mode, k=12, themes=CHECK_THEMES, blocked=c.blocks))
 
     run.__doc__ = f"Top 12 of every analysed track, mode {mode}."
     return run

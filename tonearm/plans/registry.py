@@ -15,7 +15,7 @@ def query(name: str, sql: str | None = None, views: dict[str, str] | None = None
     """Register ``fn(catalogue) -> DataFrame`` under ``name``."""
     def wrap(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Catalogue(spark, folder))
+            return fn(Catalogue.of(spark, folder))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -53,6 +53,19 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def materialize(df):
+    """Write ``df`` to the shared folder and read it back.
+
+    Unlike a checkpoint the result keeps column pruning and size statistics, so
+    later joins are planned on real sizes.  Lost executors cost nothing.
+    """
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tonearm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Largest plan-estimated size in bytes this library will broadcast by hint."""
     return int(spark.conf.get("tonearm.broadcast.bytes", str(64 * 1024 * 1024)))

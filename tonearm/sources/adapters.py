@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tonearm.functions import bands
 from tonearm.operators import lyrics as lyric_jobs
 from tonearm.schemas import THEME_POOLS
+from tonearm.session import materialize
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
@@ -148,6 +149,16 @@ FROM (SELECT user_id AS track_id, event_id, value, CAST({d.prop()} AS DOUBLE) AS
 class Catalogue:
     """Lazy access to the domain tables of one data folder."""
 
+    _open: dict = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> "Catalogue":
+        """One instance per application and folder, so written intermediates are shared."""
+        key = (spark.sparkContext.applicationId, id(spark), folder)
+        if key not in cls._open:
+            cls._open[key] = cls(spark, folder)
+        return cls._open[key]
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self._d = spark, folder, Dialect("spark")
 
@@ -173,8 +184,9 @@ class Catalogue:
         banded = raw.withColumns(bands.bands(F.col))
         banded = banded.withColumns({"timbre": F.col("texture"), "analysis_source": F.lit("catalogue")})
         from tonearm.schemas import PROFILE
-        return banded.select("track_id", "vector", F.struct(*PROFILE.fieldNames()).alias("profile"),
-                             "acoustic_signature")
+        # stored once, like the fingerprint table it stands for
+        return materialize(banded.select("track_id", "vector", F.struct(*PROFILE.fieldNames()).alias("profile"),
+                                         "acoustic_signature"))
 
     @cached_property
     def lyric_texts(self) -> DataFrame:
@@ -187,7 +199,7 @@ class Catalogue:
 
     @cached_property
     def lyric_features(self) -> DataFrame:
-        return lyric_jobs.lyric_features(self.lyric_texts, self.vocabulary, CHECK_THEMES)
+        return materialize(lyric_jobs.lyric_features(self.lyric_texts, self.vocabulary, CHECK_THEMES))
 
     @cached_property
     def learned(self) -> DataFrame:
@@ -224,8 +236,15 @@ class Catalogue:
 
     @cached_property
     def prepared(self) -> DataFrame:
+        """The prepared library, written once and shared by every query over this folder."""
         from tonearm.operators.library import prepare
-        return prepare(self.library)
+        return materialize(prepare(self.library))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """Candidate blocks of the prepared library, written once."""
+        from tonearm.operators.recommend import candidate_blocks
+        return materialize(candidate_blocks(self.prepared))
 
     @cached_property
     def run_pairs(self) -> DataFrame:
