@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK_ROWS = 4096
-CANDIDATE, TASTE, AVERSE, SEEN, ANCHOR = 0, 1, 2, 3, 4
+CANDIDATE, TASTE, AVERSE, SEEN, FEEDBACK, ANCHOR = 0, 1, 2, 3, 4, 5
 ROW_COLUMNS = ["block", "grp", "side", "id", "s", "x", "p", "used"]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tonearm.functions.vectors import total, unit
+from tonearm.functions.vectors import unit
 
 
 def hits(recs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -36,20 +36,20 @@ def coverage(recs: DataFrame, tracks: DataFrame) -> DataFrame:
     return used.crossJoin(F.broadcast(n)).withColumn("coverage", value)  # one row beside one row
 
 
-def diversity(recs: DataFrame, vectors: DataFrame) -> DataFrame:
+def diversity(recs: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     """1 - mean pairwise cosine inside each list, without pairing the list with itself.
 
     The sum over ordered pairs equals |sum of unit vectors|^2 minus the number of
-    non-zero vectors, so one aggregation per dimension is enough for a list of any size.
+    non-zero vectors, so one map-side combined sum per dimension serves lists of any size.
     """
     v = vectors.select("track_id", unit("vector").alias("u"))
     joined = recs.select("anchor_id", "track_id").join(v, "track_id")
-    nonzero = F.when(total(F.transform("u", lambda x: x * x)) > 0, 1.0).otherwise(0.0)
-    spread = joined.select("anchor_id", "track_id", nonzero.alias("one"), F.posexplode("u").alias("dim", "x"))
-    sums = spread.groupBy("anchor_id", "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.sum("one").alias("m"))
-    per = sums.groupBy("anchor_id").agg(F.sum(F.col("s") * F.col("s")).alias("sq"), F.max("n").alias("n"), F.max("m").alias("m"))
-    mean = (F.col("sq") - F.col("m")) / (F.col("n") * (F.col("n") - 1))
-    return per.select("anchor_id", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.round(1 - mean, 4)).alias("diversity"))
+    nonzero = F.when(F.exists("u", lambda x: x != 0), 1.0).otherwise(0.0)
+    sums = joined.groupBy("anchor_id").agg(
+        F.count("*").alias("n"), F.sum(nonzero).alias("m"), *[F.sum(F.get("u", F.lit(i))).alias(f"s{i}") for i in range(dims)])
+    square = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(1, dims)), F.col("s0") * F.col("s0"))
+    mean = (square - F.col("m")) / (F.col("n") * (F.col("n") - 1))
+    return sums.select("anchor_id", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.round(1 - mean, 4)).alias("diversity"))
 
 
 def relevance(tracks: DataFrame, anchors: DataFrame, n: int = 50) -> DataFrame:
@@ -69,7 +69,7 @@ def relevance(tracks: DataFrame, anchors: DataFrame, n: int = 50) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def evaluate(recs: DataFrame, relevant: DataFrame, tracks: DataFrame, vectors: DataFrame, k: int,
+def evaluate(recs: DataFrame, relevant: DataFrame, tracks: DataFrame, vectors: DataFrame, dims: int, k: int,
              sample_size: int | None = None, seed: int = 42) -> DataFrame:
     """Mean metrics over a seeded sample of anchors (all anchors when no size is given)."""
     if sample_size is not None:
@@ -77,7 +77,7 @@ def evaluate(recs: DataFrame, relevant: DataFrame, tracks: DataFrame, vectors: D
                   .orderBy(F.sha2(F.concat(F.lit(str(seed)), "anchor_id"), 256)).limit(sample_size))
         recs = recs.join(chosen, "anchor_id", "left_semi")
     top = recs.filter(F.col("rank") <= k)
-    per = list_metrics(recs, relevant, k).join(diversity(top, vectors), "anchor_id", "left")
+    per = list_metrics(recs, relevant, k).join(diversity(top, vectors, dims), "anchor_id", "left")
     means = per.agg(*[F.round(F.avg(m), 4).alias(m) for m in ("precision", "recall", "ndcg", "diversity")],
                     F.count("*").alias("n_evaluated"))
     return means.crossJoin(F.broadcast(coverage(top, tracks).select(F.round("coverage", 4).alias("coverage"))))

@@ -8,13 +8,13 @@ from __future__ import annotations
 import numpy as np
 
 from tonearm.functions import acoustic as ac
-from tonearm.operators.blocks import AVERSE, SEEN, TASTE, Rows
+from tonearm.operators.blocks import AVERSE, FEEDBACK, SEEN, TASTE, Rows
 
 # numeric layout of ``x`` (see recommend.features): names, then 13 coefficients, 12 pitch classes, themes
 NUMBERS = ["bpm", "tempo_confidence", "onset_density", "beat_regularity", "percussive_ratio", "danceability",
            "brightness", "spectral_flatness", "spectral_contrast", "zero_crossing_rate", "harmonic_ratio",
            "aggression", "dynamic_range", "tonal_strength", "energy", "valence", "mood", "live", "has_lyrics",
-           "sentiment", "arousal", "key_no", "id_hash", "playable"]
+           "sentiment", "arousal", "key_no", "id_hash", "playable", "n_themes"]
 AT = {name: i for i, name in enumerate(NUMBERS)}
 MFCC = slice(len(NUMBERS), len(NUMBERS) + 13)
 CHROMA = slice(MFCC.stop, MFCC.stop + 12)
@@ -73,7 +73,8 @@ def equal(a: Rows, c: Rows, name: str):
 def lyric(a: Rows, c: Rows):
     """NaN where either side has no usable lyric features."""
     x, y = a.x, c.x
-    theme = np.maximum(0.0, x[:, THEMES:] @ y[:, THEMES:].T)
+    themes = slice(THEMES, THEMES + int(x[0, AT["n_themes"]]))
+    theme = np.maximum(0.0, x[:, themes] @ y[:, themes].T)
     gap = lambda n: np.abs(x[:, AT[n]][:, None] - y[:, AT[n]][None, :])
     known = (a.s[:, TEXT_AT["language"]] != "")[:, None]
     language = np.where(equal(a, c, "language") & known, 1.0, 0.65)
@@ -171,7 +172,8 @@ class Recommend(Worker):
 
     names = ["request_id", "track_id", "identity", "artist_key", "hybrid_score", "rhythm", "timbre", "harmony"]
 
-    def __init__(self, cands, mode, k, weights, scope, vibe_lock, dialect, lyric_weight):
+    def __init__(self, cands, mode, k, weights, scope, vibe_lock, dialect, lyric_weight, learned=None):
+        self.learned = learned
         self.mode, self.k, self.weights, self.scope = mode, k, weights, scope
         self.vibe_lock, self.dialect, self.lyric_weight = vibe_lock, dialect, lyric_weight
         super().__init__(cands)
@@ -183,6 +185,7 @@ class Recommend(Worker):
         self.best = None  # best taste parts per candidate
         self.averse = None
         self.seen = np.zeros(self.size, dtype=bool)
+        self.feedback = []
 
     def feed(self, side, data):
         if side == SEEN:
@@ -190,6 +193,9 @@ class Recommend(Worker):
                 if track in self.index:
                     self.seen[self.index[track]] = True
             return
+        if side == FEEDBACK:
+            self.feedback += list(zip(data.p[:, 0], data.ids, data.s[:, 0], data.x))
+            return
         step = max(1, 1_000_000 // max(1, self.size))
         for low in range(0, len(data.ids), step):
             parts = np.stack(components(data.x[low:low + step], self.c.x, self.dialect))
@@ -238,8 +244,42 @@ class Recommend(Worker):
         if self.averse is not None:
             cut = 1 - 0.45 * np.minimum(1, (self.averse - 0.72) / 0.28)
             total = np.where((self.averse > 0.72)[None, :], total * cut[None, :], total)
+        if self.learned is not None:
+            total = total * self.learned_factor(a)
         return clip01(total)
 
+    def learned_factor(self, a: Rows):
+        """Multiplier from learned sound, predicted mood and explicit feedback."""
+        dims, moods, sad, strength = self.learned
+        sound_at, mood_at = slice(-dims - moods, -moods), slice(-moods, None)
+        known = lambda x: ~np.isnan(x[:, -1])
+        c = self.c.x
+        scaled = lambda x: clip01((np.clip(x[:, sound_at] @ c[:, sound_at].T, -1, 1) - 0.35) / 0.65)
+        both = known(a.x)[:, None] & known(c)[None, :]
+        gap = np.abs(a.x[:, mood_at][:, None, :] - c[:, mood_at][None, :, :]).sum(axis=2) if both.any() else np.zeros(both.shape)
+        own = scaled(a.x)
+        factor = ((1 - strength) + strength * (0.35 + 1.10 * own)) * (0.72 + 0.28 * clip01(1 - gap / 2))
+        factor = np.where(both, factor, 1.0)
+        listed = sorted(self.feedback, key=lambda f: f[0])
+        direct = {}
+        for _, track, reason, _ in listed:
+            direct.setdefault(track, reason)
+        for track, reason in direct.items():
+            if track in self.index:
+                factor[:, self.index[track]] *= 1.12 if reason == "more_like_this" else 0.12
+        for _, track, reason, x in listed[:12]:
+            if np.isnan(x[-1]):
+                continue
+            other = known(c) & (self.c.ids != track)
+            if reason == "more_like_this":
+                related = clip01((np.clip(c[:, sound_at] @ x[sound_at], -1, 1) - 0.55) / 0.45)
+                factor = factor * np.where(other, 1 + related * 0.07, 1.0)[None, :]
+            elif reason == "too_different":
+                factor = np.where(other[None, :] & known(a.x)[:, None], factor * (0.90 + 0.10 * own), factor)
+            elif reason == "too_sad" and sad is not None and x[mood_at][sad] > 0.16:
+                factor = factor * np.where(other, 1 - np.minimum(0.18, c[:, mood_at][:, sad] * 0.35), 1.0)[None, :]
+        return factor
+
     def score(self, a: Rows):
         total = np.round(self.total(a), 4)
         same = equal(a, self.c, "identity") | (a.s[:, -1][:, None] == self.c.ids[None, :])
@@ -369,3 +409,78 @@ class Bridge(Worker):
             out[1].append(self.c.ids[column])
             out[2].append(float(scores[column]))
         return list(out)
+
+
+class Metadata(Worker):
+    """Metadata score; x = (year or NaN, duration or NaN), s = (edition, sub-genre, artist, title-less names...)."""
+
+    names = ["request_id", "track_id", "edition", "hybrid_score", "first", "second", "third"]
+
+    def __init__(self, cands, mode, k, weights):
+        self.mode, self.k, self.weights = mode, k, weights
+        super().__init__(cands)
+        self.by_name = {}
+        for i, row in enumerate(cands.s):
+            for name in row[3].split("\u0001"):
+                self.by_name.setdefault(name, []).append(i)
+
+    def reset(self):
+        self.seen = np.zeros(self.size, dtype=bool)
+
+    def feed(self, side, data):
+        for track in data.ids:
+            if track in self.index:
+                self.seen[self.index[track]] = True
+
+    def score(self, a: Rows):
+        shape = (len(a.ids), self.size)
+        genre = np.broadcast_to(a.p[:, 0][:, None], shape)
+        shared = np.zeros(shape)
+        for i, row in enumerate(a.s):
+            for name in row[3].split("\u0001"):
+                if name in self.by_name:
+                    shared[i, self.by_name[name]] = 1.0
+
+        def decay(column, default, width):
+            base = np.where(np.isnan(a.x[:, column]), default, a.x[:, column])[:, None]
+            other = self.c.x[:, column][None, :]
+            return np.exp(-np.abs(np.where(np.isnan(other), base, other) - base) / width)
+
+        era = 0.65 * decay(0, 2005, 12) + 0.35 * decay(1, 210_000, 120_000)
+        fresh = np.where(shared > 0, 0.1, 1.0)
+        if self.mode == "adjacent":
+            near = np.where(genre == 1.0, 0.25, genre)
+            total, parts = 0.60 * near + 0.25 * fresh + 0.15 * era, (near, fresh, era)
+        elif self.mode == "same-era":
+            total, parts = 0.20 * genre + 0.10 * shared + 0.70 * era, (genre, shared, era)
+        elif self.mode == "discover":
+            total = np.maximum(0.0, 0.45 * genre + 0.35 * fresh + 0.20 * era - np.where(self.seen, 0.40, 0.0)[None, :])
+            parts = (genre, fresh, era)
+        else:
+            w = self.weights
+            total, parts = w[0] * genre + w[1] * shared + w[2] * era, (genre, shared, era)
+            if self.mode == "personalized":
+                liked = np.zeros(shape)
+                for i, used in enumerate(a.used):
+                    if used and (used[0] or used[1]):
+                        liked[i] = np.minimum(1.0, np.isin(self.c.s[:, 1], used[0]) + 0.35 * np.isin(self.c.s[:, 2], used[1]))
+                has = np.array([bool(u and (u[0] or u[1])) for u in a.used])[:, None]
+                novelty = 0.625 * era + 0.375 * np.where(self.seen, 0.15, 1.0)[None, :]
+                total = np.where(has, 0.40 * liked + 0.20 * genre + 0.40 * novelty, total)
+                parts = tuple(np.where(has, p, q) for p, q in zip((liked, genre, novelty), parts))
+        total = np.round(np.minimum(1.0, total), 4)
+        editions = self.c.s[:, 0]
+        total[(a.s[:, 0][:, None] == editions[None, :]) | (a.s[:, 4][:, None] == self.c.ids[None, :])] = -1.0
+        out = tuple([] for _ in self.names)
+        for i, columns in enumerate(top_k(total, self.size)):
+            taken, chosen = set(), []
+            for column in columns:
+                if total[i, column] < 0 or len(chosen) >= self.k:
+                    break
+                if editions[column] not in taken:
+                    taken.add(editions[column])
+                    chosen.append(column)
+            for target, values in zip(out, ([a.ids[i]] * len(chosen), self.c.ids[chosen], editions[chosen], total[i, chosen],
+                                            *[np.broadcast_to(p, shape)[i, chosen] for p in parts])):
+                target.extend(values)
+        return list(out)

@@ -50,13 +50,25 @@ def weight_report(weights: DataFrame, keys: list[str], tolerance: float = 0.01)
         ((F.round(F.min("weight"), 6) >= 0) & (F.abs(total - 1) <= tolerance)).alias("ok"))
 
 
-def features(themes=None) -> Column:
+def features(themes=None, learned: bool = False) -> Column:
     """Numeric layout read by kernels.py; built in the JVM once per track."""
     themes = tx.LYRIC_THEMES if themes is None else themes
     defaults = {"mood": F.lit(float("nan")), "sentiment": F.lit(0.0), "arousal": F.lit(0.5)}
-    numbers = [F.coalesce(F.col(n).cast("double"), defaults.get(n, F.lit(0.0))) for n in kernels.NUMBERS]
+    numbers = [F.lit(float(len(themes))) if n == "n_themes" else
+               F.coalesce(F.col(n).cast("double"), defaults.get(n, F.lit(0.0))) for n in kernels.NUMBERS]
     theme = unit(F.array(*[F.coalesce(F.element_at("theme_vector", F.lit(t)), F.lit(0.0)) for t in themes]))
-    return F.concat(F.array(*numbers), F.col("mfcc"), F.col("chroma_unit"), theme)
+    parts = [F.array(*numbers), F.col("mfcc"), F.col("chroma_unit"), theme]
+    return F.concat(*parts, F.col("sound"), F.col("moods")) if learned else F.concat(*parts)
+
+
+def with_learned(prepared: DataFrame, index: DataFrame, dims: int, moods: int) -> DataFrame:
+    """Attach unit embeddings and mood distributions; rows outside the index get zeros and NaN."""
+    from tonearm.operators.learned import mood_distribution
+    rows = index.select("track_id", unit(F.transform("embedding", lambda x: x.cast("double"))).alias("_s"),
+                        mood_distribution("mood_scores").alias("_m"))
+    nan = F.array_repeat(F.lit(float("nan")), moods)
+    return prepared.join(rows, "track_id", "left").withColumns({
+        "sound": F.coalesce("_s", F.array_repeat(F.lit(0.0), dims)), "moods": F.coalesce("_m", nan)}).drop("_s", "_m")
 
 
 def texts(split: Column | None = None) -> Column:
@@ -106,10 +118,14 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
               genre_scope: str = "nearby", vibe_lock: bool = True, taste: DataFrame | None = None,
               averse: DataFrame | None = None, seen: DataFrame | None = None, dialect: str = "hosted",
               styles: Styles | None = None, themes=None, blocked: DataFrame | None = None,
-              block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+              candidates: DataFrame | None = None,
+              learned: tuple[int, list[str]] | None = None, feedback: DataFrame | None = None, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Top-k per request: request_id, anchor_id, track_id, rank, hybrid_score and the three parts.
 
     ``blocked`` is a stored result of ``candidate_blocks`` (of the library or of a part of it).
+    taste, averse and seen are (user_id, track_id) tables.  ``learned`` = (dims, mood labels) turns on
+    the learned rerank; prepared and blocked then carry the columns of ``with_learned``, and
+    feedback(user_id, track_id, reason, position) adds explicit feedback (at most 100 rows per user).
     """
     if mode not in tx.MODE_WEIGHTS or mode == "transition":
         raise ValueError(f"unknown mode {mode}")
@@ -118,7 +134,9 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
     k = max(1, min(50, int(k)))
     chosen = check_weights(weights) if mode == "similar" and weights else tx.MODE_WEIGHTS[mode]
     styles = styles or Styles(dialect=dialect)
-    cands = materialize(candidate_blocks(prepared, block_rows)) if blocked is None else blocked
+    if blocked is None:
+        blocked = materialize(candidate_blocks(prepared if candidates is None else candidates, block_rows))
+    cands = blocked
     personal = "user_id" in requests.columns
     group = F.concat(F.lit("u"), F.col("user_id").cast("string")) if personal else F.lit("~")
 
@@ -127,7 +145,7 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
     pairs = lane_pairs(asked, cands, genre_scope, styles)
     directory = cands.select("lane", "block").distinct()
     routed = (asked.withColumnRenamed("lane", "anchor_lane").join(pairs, "anchor_lane").join(directory, "lane"))
-    x, s = features(themes), texts()
+    x, s = features(themes, learned is not None), texts()
     parts = [
         blocks.rows(cands, blocks.CANDIDATE, "", texts(F.col("split")), x, row_id="track_id"),
         blocks.rows(routed, blocks.ANCHOR, F.coalesce(group, F.lit("~")), F.concat(s, F.array("anchor_id")), x,
@@ -144,8 +162,18 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
             home = cands.select("track_id", "block")
             known = seen.select("user_id", "track_id").distinct().join(home, "track_id")
             parts.append(blocks.rows(known, blocks.SEEN, group, row_id="track_id"))
+        if feedback is not None:
+            said = feedback.join(prepared, "track_id", "left").join(reach, "user_id")
+            blank = F.array_repeat(F.lit(float("nan")), 1)
+            parts.append(blocks.rows(said, blocks.FEEDBACK, group, F.array("reason"), F.coalesce(x, blank),
+                                     F.array(F.col("position").cast("double")), row_id="track_id"))
     kernel = partial(kernels.Recommend, mode=mode, k=k, weights=chosen, scope=genre_scope, vibe_lock=vibe_lock,
                      dialect=dialect, lyric_weight=tx.LYRIC_WEIGHTS[mode])
+    if learned is not None:
+        dims, labels = learned
+        strength = 0.20 if mode in ("rhythm", "timbre") else 0.42
+        sad = labels.index("melancholic") if "melancholic" in labels else None
+        kernel = partial(kernel, learned=(dims, len(labels), sad, strength))
     local = blocks.run(parts, kernel, TOP_SCHEMA)
     merged = diversify(local, "request_id", k)
     return requests.join(merged, "request_id")

@@ -63,7 +63,7 @@ def q_coverage(c):
 @query("q_diversity", views=VIEWS, sql="SELECT anchor_id, round(diversity, 3) + 0.0 AS diversity FROM div")
 def q_diversity(c):
     """Compared to three decimals: the operator itself rounds to four."""
-    return ev.diversity(recs(c).filter("rank <= 5"), vectors(c)).select("anchor_id", (F.round("diversity", 3) + F.lit(0.0)).alias("diversity"))
+    return ev.diversity(recs(c).filter("rank <= 5"), vectors(c), 64).select("anchor_id", (F.round("diversity", 3) + F.lit(0.0)).alias("diversity"))
 
 
 def catalogue_labels(c):
@@ -82,5 +82,5 @@ SELECT round(avg("precision"), 4) AS "precision", round(avg(recall), 4) AS recal
  round((SELECT count(DISTINCT track_id) FROM recs WHERE rank <= 5) / (SELECT count(*) FROM tracks)::DOUBLE, 4) AS coverage
 FROM metrics LEFT JOIN div USING (anchor_id)""")
 def q_evaluate(c):
-    return ev.evaluate(recs(c), rel(c), c.tracks, vectors(c), 5).select(
+    return ev.evaluate(recs(c), rel(c), c.tracks, vectors(c), 64, 5).select(
         "precision", "recall", "ndcg", "diversity", "n_evaluated", "coverage")

@@ -93,3 +93,167 @@ def _mode(mode):
 
 for _name in ("similar", "rhythm", "timbre", "discover"):
     _mode(_name)
+
+
+# --- scopes, taste, aversion, diversity --------------------------------------------------------
+def _scope_sql(scope, lock):
+    return f"SELECT '{scope}' AS scope, anchor_id, track_id, rank, hybrid_score FROM ({mode_sql('similar', 5, scope, lock)})"
+
+
+@query("q_genre_scopes", sql=" UNION ALL ".join([_scope_sql("strict", True), _scope_sql("open", False)]))
+def q_genre_scopes(c):
+    """Strict with the vibe lock, open without it (nearby is every other query)."""
+    one = lambda scope, lock: rec.top_lists(anchors(c), c.prepared, "similar", k=5, genre_scope=scope, vibe_lock=lock,
+                                            themes=CHECK_THEMES, blocked=c.blocks).select(
+        F.lit(scope).alias("scope"), "anchor_id", "track_id", F.col("rank").cast("bigint").alias("rank"), "hybrid_score")
+    return one("strict", True).unionByName(one("open", False))
+
+
+W3 = tx.MODE_WEIGHTS["similar"]
+USERS = {
+    "asks": "SELECT DISTINCT user_id, anchor_track_id AS anchor_id FROM runs WHERE mode = '{mode}' AND anchor_track_id IN (SELECT track_id FROM lib)",
+    "liked": "SELECT user_id, track_id FROM favorites UNION SELECT user_id, track_id FROM interactions WHERE event_type IN ('liked', 'preview_completed', 'youtube_opened')",
+    "averse": "SELECT DISTINCT user_id, track_id FROM interactions WHERE event_type IN ('disliked', 'dismissed')",
+    "met": "SELECT r.user_id, i.track_id FROM runs r JOIN items i ON i.run_id = r.id UNION SELECT user_id, track_id FROM interactions",
+    "parts": f"""SELECT *, {W3[0]}::DOUBLE * r + {W3[1]}::DOUBLE * t + {W3[2]}::DOUBLE * h AS w FROM (SELECT a.track_id AS src, b.track_id, {o.rhythm()} AS r, {o.timbre()} AS t, {o.harmony()} AS h
+      FROM lib a CROSS JOIN lib b WHERE a.track_id IN (SELECT track_id FROM liked UNION SELECT track_id FROM averse))""",
+    "best": "SELECT l.user_id, p.track_id, max_by({'r': r, 't': t, 'h': h}, w) AS p FROM liked l JOIN parts p ON p.src = l.track_id GROUP BY l.user_id, p.track_id",
+    "worst": "SELECT l.user_id, p.track_id, max(w) AS w FROM averse l JOIN parts p ON p.src = l.track_id GROUP BY l.user_id, p.track_id",
+    "pairs0": o.scored_pairs(ALL),
+}
+
+
+def _user_sql(mode: str, k: int, blend: bool) -> tuple[dict, str]:
+    views = {**USERS, "asks": USERS["asks"].replace("{mode}", mode)}
+    part = lambda full, short: f"0.65::DOUBLE * s.{full} + 0.35::DOUBLE * coalesce(t.p.{short}, s.{full})" if blend else f"s.{full}"
+    raw = f"""SELECT q.user_id, q.anchor_id, s.track_id, s.b_ident, s.b_artist_key, s.genre, s.vibe, s.title_sim, s.lyric_sim,
+      CASE WHEN {str(blend).lower()} AND t.user_id IS NOT NULL THEN {part('rhythm', 'r')} ELSE s.rhythm END AS rhythm,
+      CASE WHEN {str(blend).lower()} AND t.user_id IS NOT NULL THEN {part('timbre', 't')} ELSE s.timbre END AS timbre,
+      CASE WHEN {str(blend).lower()} AND t.user_id IS NOT NULL THEN {part('harmony', 'h')} ELSE s.harmony END AS harmony,
+      CASE WHEN m.track_id IS NOT NULL THEN 0.76::DOUBLE ELSE 1 END * CASE WHEN n.w > 0.72 THEN 1 - 0.45::DOUBLE * least(1.0::DOUBLE, (n.w - 0.72::DOUBLE) / 0.28::DOUBLE) ELSE 1 END AS penalty
+     FROM asks q JOIN pairs0 s ON s.anchor_id = q.anchor_id LEFT JOIN best t ON t.user_id = q.user_id AND t.track_id = s.track_id
+     LEFT JOIN met m ON m.user_id = q.user_id AND m.track_id = s.track_id LEFT JOIN worst n ON n.user_id = q.user_id AND n.track_id = s.track_id WHERE genre >= 0.10"""
+    scored = f"SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {total_sql(mode, 'nearby', True)} * penalty)), 4) + 0.0 AS hybrid_score FROM ({raw})"
+    sql = f"""SELECT user_id, anchor_id, track_id, CAST(rank AS BIGINT) AS rank, hybrid_score, round(rhythm, 6) AS rhythm, round(timbre, 6) AS timbre,
+      round(harmony, 6) AS harmony FROM ({diverse_sql(scored, 'user_id, anchor_id', k)})"""
+    return views, sql
+
+
+def personal(c, mode: str, k: int):
+    from tonearm.operators import listeners as ls
+    requests = c.runs.filter(F.col("mode") == mode).select("user_id", F.col("anchor_track_id").alias("anchor_id")).distinct()
+    requests = requests.withColumn("request_id", F.concat_ws(":", F.col("user_id").cast("string"), "anchor_id"))
+    rows = ls.taste_rows(c.favorites, c.interactions)
+    top = rec.top_lists(requests, c.prepared, mode, k=k, taste=rows.filter("liked"), averse=rows.filter("disliked"),
+                        seen=ls.seen(c.runs, c.items, c.interactions), themes=CHECK_THEMES, blocked=c.blocks)
+    return top.select("user_id", "anchor_id", "track_id", F.col("rank").cast("bigint").alias("rank"), "hybrid_score",
+                      r6("rhythm"), r6("timbre"), r6("harmony"))
+
+
+_views, _sql = _user_sql("personalized", 12, True)
+
+
+@query("q_recommend_personalized", views=_views, sql=_sql)
+def q_recommend_personalized(c):
+    """Every personalised run: taste blended in, seen tracks and disliked sound held back."""
+    return personal(c, "personalized", 12)
+
+
+_views, _sql = _user_sql("similar", 6, False)
+
+
+@query("q_negative_affinity", views=_views, sql=_sql)
+def q_negative_affinity(c):
+    """Mode similar for signed-in listeners: seen penalty and disliked-affinity penalty."""
+    return personal(c, "similar", 6)
+
+
+@query("q_diversify", sql=f"""
+SELECT run_id, track_id, CAST(rank AS BIGINT) AS rank, backfill, hybrid_score FROM ({diverse_sql(
+    f"SELECT i.run_id, i.track_id, i.score AS hybrid_score, {o.identity('t.title', 't.artist')} AS b_ident, {o.clean('t.artist')} AS b_artist_key FROM items i JOIN tracks t ON t.track_id = i.track_id", 'run_id', 4)})""")
+def q_diversify(c):
+    from tonearm.functions import text
+    t = c.tracks.select("track_id", text.recording_identity("title", "artist").alias("identity"), text.clean("artist").alias("artist_key"))
+    scored = c.items.join(t, "track_id").withColumn("hybrid_score", F.col("score"))
+    return rec.diversify(scored, "run_id", 4).select("run_id", "track_id", F.col("rank").cast("bigint").alias("rank"), "backfill", "hybrid_score")
+
+
+# --- transition runs and bridges ---------------------------------------------------------------
+from tonearm.operators import chain as ch  # noqa: E402
+from tonearm.plans.pairs import handoff_parts, transition_sql  # noqa: E402
+
+STEP = {"step_pairs": f"""
+SELECT *, {o.vibe_of('v1', 'v2', 'v3', 'lyr_sim')} AS vibe_sim FROM (
+ SELECT a.track_id AS anchor_id, b.track_id, b.playable, a.artist_key = b.artist_key AS same_artist, a.playable AS a_playable, b.energy AS b_energy, b.brightness AS b_brightness,
+  sp.sim AS here, sp.sim AS origin, gp.genre AS genre, {handoff_parts()}
+ FROM {ALL} JOIN style_pair sp ON sp.s1 = a.style AND sp.s2 = b.style
+ JOIN genre_pair gp ON gp.p1 = a.prim AND gp.u1 = a.sub AND gp.p2 = b.prim AND gp.u2 = b.sub)""",
+ "step_rough": """SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY rough DESC, track_id) AS n FROM (
+   SELECT *, 0.47::DOUBLE * tempo + 0.30::DOUBLE * keyc + 0.13::DOUBLE * here + 0.10::DOUBLE * genre AS rough FROM step_pairs WHERE playable AND genre >= 0.10) QUALIFY n <= 520"""}
+
+
+@query("q_transition_step1", views=STEP, sql=f"""
+SELECT anchor_id, track_id, round(rough, 6) AS rough, round(score, 6) AS score FROM (SELECT *, {transition_sql()} * (0.58::DOUBLE + 0.42::DOUBLE * vibe_sim) * (0.60::DOUBLE + 0.40::DOUBLE * genre)
+  * CASE WHEN same_artist THEN 0.62::DOUBLE ELSE 1 END AS score FROM step_rough) QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, n) = 1""")
+def q_transition_step1(c):
+    """First step of the run of every analysed track."""
+    out = ch.transition_chain(anchors(c), c.prepared, k=1, themes=CHECK_THEMES, blocked=c.blocks)
+    return out.select("anchor_id", "track_id", r6("rough"), r6("score"))
+
+
+@query("q_transition_chain")
+def q_transition_chain(c):
+    """Five-step run of every analysed track with notes."""
+    out = ch.transition_chain(anchors(c), c.prepared, k=5, themes=CHECK_THEMES, blocked=c.blocks)
+    told = ch.describe_steps(out, c.prepared)
+    return told.select("anchor_id", "step", "prev_id", "track_id", r6("score"), F.array_join("match_reasons", " | ").alias("reasons"), "transition_note")
+
+
+def bridge_requests(c):
+    """Anchor and first suggestion of every recorded run, once per pair."""
+    first = c.items.filter("rank = 1").select(F.col("run_id").alias("id"), F.col("track_id").alias("destination_id"))
+    pairs = c.runs.select("id", F.col("anchor_track_id").alias("anchor_id")).join(first, "id").select("anchor_id", "destination_id").distinct()
+    return pairs.withColumn("request_id", F.concat_ws(">", "anchor_id", "destination_id"))
+
+
+BRIDGE = {**STEP, "br_req": "SELECT DISTINCT r.anchor_track_id AS anchor_id, i.track_id AS destination_id FROM runs r JOIN items i ON i.run_id = r.id AND i.rank = 1 WHERE r.anchor_track_id <> i.track_id",
+  "br_pairs": f"""SELECT *, {o.vibe_of('v1', 'v2', 'v3', 'lyr_sim')} AS vibe_sim FROM (SELECT a.track_id AS anchor_id, b.track_id, sp.sim AS here, CASE WHEN b.style = '' THEN 0.25 ELSE 1.0 END::DOUBLE AS dest_self, sp.sim AS origin, gp.genre AS genre, {handoff_parts()}
+    FROM lib a JOIN lib b ON a.track_id <> b.track_id JOIN style_pair sp ON sp.s1 = a.style AND sp.s2 = b.style JOIN genre_pair gp ON gp.p1 = a.prim AND gp.u1 = a.sub AND gp.p2 = b.prim AND gp.u2 = b.sub)""",
+  "br_lead": f"SELECT anchor_id, track_id, {transition_sql()} AS score FROM br_pairs",
+  "br_home": f"SELECT anchor_id AS track_id, track_id AS destination_id, {transition_sql().replace('origin', 'dest_self')} AS score FROM br_pairs"}
+
+
+@query("q_bridge_step1", views=BRIDGE, sql="""
+SELECT anchor_id, destination_id, track_id, round(total, 6) AS score FROM (
+ SELECT q.anchor_id, q.destination_id, c.track_id, (0.84::DOUBLE * (l.score * (1 - 0.335::DOUBLE) + h.score * 0.335::DOUBLE)
+   + 0.10::DOUBLE * exp(-abs(c.energy - (a.energy * 0.75::DOUBLE + d.energy * 0.25::DOUBLE)) / 18::DOUBLE)
+   + 0.06::DOUBLE * exp(-abs(c.brightness - (a.brightness * 0.75::DOUBLE + d.brightness * 0.25::DOUBLE)) / 0.24::DOUBLE))
+   * CASE WHEN c.artist_key IN (a.artist_key, d.artist_key) THEN 0.68::DOUBLE ELSE 1 END AS total
+ FROM br_req q JOIN lib a ON a.track_id = q.anchor_id AND a.playable JOIN lib d ON d.track_id = q.destination_id AND d.playable
+ JOIN lib c ON c.playable AND c.ident NOT IN (a.ident, d.ident) AND c.track_id NOT IN (a.track_id, d.track_id)
+ JOIN br_lead l ON l.anchor_id = a.track_id AND l.track_id = c.track_id JOIN br_home h ON h.track_id = c.track_id AND h.destination_id = d.track_id)
+QUALIFY row_number() OVER (PARTITION BY anchor_id, destination_id ORDER BY total DESC, track_id) = 1""")
+def q_bridge_step1(c):
+    """First intermediate of every bridge."""
+    out = ch.sound_bridge(bridge_requests(c), c.prepared, themes=CHECK_THEMES, blocked=c.blocks, steps=1).filter("step = 1 AND score IS NOT NULL")
+    return out.select("anchor_id", "destination_id", "track_id", r6("score"))
+
+
+@query("q_sound_bridge")
+def q_sound_bridge(c):
+    """Full bridges: three intermediates, then the destination."""
+    out = ch.sound_bridge(bridge_requests(c), c.prepared, themes=CHECK_THEMES, blocked=c.blocks)
+    told = ch.describe_steps(out, c.prepared)
+    return told.select("anchor_id", "destination_id", "step", "prev_id", "track_id", r6("score"), "transition_note")
+
+
+@query("q_select_baseline")
+def q_select_baseline(c):
+    """Playable tracks that any mode recommends for any anchor (what a first learned index should cover)."""
+    lists = [rec.top_lists(anchors(c), c.prepared, m, k=12, themes=CHECK_THEMES, blocked=c.blocks).select("track_id")
+             for m in ("similar", "rhythm", "timbre")]
+    lists.append(ch.transition_chain(anchors(c), c.prepared, k=5, themes=CHECK_THEMES, blocked=c.blocks).select("track_id"))
+    ids = lists[0]
+    for more in lists[1:]:
+        ids = ids.union(more)
+    return ids.union(anchors(c).select("anchor_id")).distinct().join(c.prepared.filter("playable").select("track_id"), "track_id", "left_semi")

@@ -19,6 +19,7 @@ def query(name: str, sql: str | None = None, views: dict[str, str] | None = None
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
+        run.__module__ = fn.__module__
         QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = with_views(sql, views)
