@@ -128,6 +128,33 @@ class Worker:
         self.index = {v: i for i, v in enumerate(cands.ids)}
         self.reset()
 
+    def group_columns(self, name):
+        """Value of a text column -> candidate columns that carry it."""
+        columns = {}
+        for i, value in enumerate(self.c.s[:, TEXT_AT[name]]):
+            columns.setdefault(value, []).append(i)
+        return columns
+
+    def free(self, ids, recordings):
+        """Playable candidates whose id and recording are not used yet."""
+        mask = self.playable.copy()
+        for value in ids:
+            if value in self.index:
+                mask[self.index[value]] = False
+        for value in recordings:
+            mask[self.by_identity.get(value, ())] = False
+        return mask
+
+    def index_used(self):
+        self.playable = self.c.x[:, AT["playable"]] > 0
+        self.by_identity, self.by_artist = self.group_columns("identity"), self.group_columns("artist_key")
+
+    def repeated(self, names):
+        mask = np.zeros(self.size, dtype=bool)
+        for value in names:
+            mask[self.by_artist.get(value, ())] = True
+        return mask
+
     def reset(self):
         """A new requester group begins."""
 
@@ -344,6 +371,7 @@ class Chain(Worker):
     def __init__(self, cands, scope, vibe_lock, dialect, shortlist):
         self.scope, self.vibe_lock, self.dialect, self.shortlist = scope, vibe_lock, dialect, shortlist
         super().__init__(cands)
+        self.index_used()
 
     def score(self, a: Rows):
         prev, anchor = second(a, a.x.shape[1] // 2, len(TEXTS))
@@ -359,13 +387,10 @@ class Chain(Worker):
             exact = exact * (0.58 + 0.42 * mood)
         exact = exact * (0.88 + 0.12 * genre if self.scope == "open" else 0.60 + 0.40 * genre)
         out = ([], [], [], [])
-        identities, artists = self.c.s[:, TEXT_AT["identity"]], self.c.s[:, TEXT_AT["artist_key"]]
-        playable = self.c.x[:, AT["playable"]] > 0
         for row, (ids, recordings, names) in enumerate(a.used):
-            open_ = playable & ~np.isin(self.c.ids, ids) & ~np.isin(identities, recordings)
-            columns = np.flatnonzero(open_)
+            columns = np.flatnonzero(self.free(ids, recordings))
             columns = columns[np.argsort(-rough[row, columns], kind="stable")][:self.shortlist]
-            value = np.where(np.isin(artists[columns], names), exact[row, columns] * 0.62, exact[row, columns])
+            value = np.where(self.repeated(names)[columns], exact[row, columns] * 0.62, exact[row, columns])
             out[0].extend([a.ids[row]] * len(columns))
             out[1].extend(self.c.ids[columns])
             out[2].extend(rough[row, columns])
@@ -381,6 +406,7 @@ class Bridge(Worker):
     def __init__(self, cands, step, dialect):
         self.step, self.dialect = step, dialect
         super().__init__(cands)
+        self.index_used()
 
     def score(self, a: Rows):
         prev, goal = second(a, a.x.shape[1] // 2, len(TEXTS))
@@ -396,13 +422,11 @@ class Bridge(Worker):
         value = (value * 0.84 + np.exp(-off(energy0, "energy") / 18) * 0.10
                  + np.exp(-off(bright0, "brightness") / 0.24) * 0.06)
         out = ([], [], [])
-        identities, artists = self.c.s[:, TEXT_AT["identity"]], self.c.s[:, TEXT_AT["artist_key"]]
-        playable = self.c.x[:, AT["playable"]] > 0
         for row, (ids, recordings, names) in enumerate(a.used):
-            open_ = playable & ~np.isin(self.c.ids, ids) & ~np.isin(identities, recordings)
+            open_ = self.free(ids, recordings)
             if not open_.any():
                 continue
-            scores = np.where(np.isin(artists, names), value[row] * 0.68, value[row])
+            scores = np.where(self.repeated(names), value[row] * 0.68, value[row])
             scores = np.where(open_, scores, -np.inf)
             column = int(np.argmax(scores))
             out[0].append(a.ids[row])
