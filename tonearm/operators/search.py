@@ -62,7 +62,10 @@ def _pieces(value: Column, sizes: list[int]) -> Column:
             F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))).otherwise(
             F.array().cast("array<string>"))
 
-    parts = [F.flatten(F.transform(tx.tokens(value), lambda w, n=n: cut(w, n))) for n in sizes]
+    def all_of(n):
+        return F.flatten(F.transform(tx.tokens(value), lambda w: cut(w, n)))
+
+    parts = [all_of(n) for n in sizes]
     return F.array_distinct(F.concat(*parts))
 
 
@@ -86,7 +89,7 @@ def search_fuzzy(tracks: DataFrame, queries: DataFrame, limit: int = 80) -> Data
     query are not probed at all; that keeps the hottest index entries out of the join.
     """
     limit = max(1, min(200, limit))
-    texts = _texts(tracks).withColumn("grams", tx.trigrams("text"))
+    texts = _texts(tracks).withColumns({"grams": tx.trigrams("text"), "run": tx.ordered_trigrams("text")})
     asked = queries.select("query_id", tx.normalize_search("query").alias("q")).filter(F.col("q") != "")
     asked = asked.withColumn("q_grams", tx.trigrams("q"))
 
@@ -107,7 +110,7 @@ def search_fuzzy(tracks: DataFrame, queries: DataFrame, limit: int = 80) -> Data
     joined = joined.withColumns({"similarity": similarity, "inside": F.contains("text", "q"), "bound": overlap / F.size("q_grams")})
     # word similarity never exceeds the share of query trigrams found, so most pairs stop here
     joined = joined.filter(F.col("inside") | (F.col("similarity") >= SIMILARITY_FLOOR) | (F.col("bound") >= WORD_FLOOR))
-    joined = joined.withColumn("word_similarity", tx.word_similarity("q_grams", tx.ordered_trigrams("text")))
+    joined = joined.withColumn("word_similarity", tx.word_similarity("q_grams", "run"))
     hits = joined.filter(F.col("inside") | (F.col("similarity") >= SIMILARITY_FLOOR) | (F.col("word_similarity") >= WORD_FLOOR))
     bonus = lambda cond, points: F.when(cond, F.lit(points)).otherwise(F.lit(0.0))
     score = (bonus(F.col("title_n") == F.col("q"), 10.0) + bonus(F.col("text") == F.col("q"), 8.0)
@@ -202,15 +205,20 @@ def search_local(tracks: DataFrame, fingerprints: DataFrame, queries: DataFrame,
                           tx.normalize_search_folded("artist").alias("artist_n"),
                           tx.recording_identity("title", "artist").alias("identity"))
     texts = texts.withColumn("text", F.trim(F.concat_ws(" ", "title_n", "artist_n")))
-    both = fixed.select("query_id", "q").union(fixed.select("query_id", "corrected")).distinct()
+    # the two spellings are separate queries while candidates are looked up
+    spelled = lambda n, c: fixed.select(F.concat_ws("\u0001", "query_id", F.lit(n)).alias("query_id"), F.col(c).alias("q"))
+    both = spelled("0", "q").union(spelled("1", "corrected").join(
+        fixed.filter("q <> corrected").select(F.concat_ws("\u0001", "query_id", F.lit("1")).alias("query_id")), "query_id", "left_semi"))
     # reversed order (artist first) can contain the query too; its words are the same
-    pairs = search_candidates(both, texts.select("track_id", "title_n", "text"))
+    found = search_candidates(both, texts.select("track_id", "title_n", "text"))
+    pairs = found.select(F.substring_index("query_id", "\u0001", 1).alias("query_id"), "track_id").distinct()
     indexed = fingerprints.select(F.col("track_id"), F.lit(True).alias("indexed"))
     rows = pairs.join(fixed, "query_id").join(texts, "track_id").join(indexed, "track_id", "left").fillna(False, ["indexed"])
     playable = F.coalesce("preview_url", F.lit("")) != ""
-    relevance = lambda q: tx.search_relevance(q, "title_n", "artist_n", "indexed", playable)
-    score = F.when(F.col("q") == F.col("corrected"), relevance("q")).otherwise(F.greatest(relevance("q"), relevance("corrected")))
-    scored = rows.withColumn("score", score).filter(F.col("score") >= RELEVANCE_FLOOR)
+    add = lambda df, q, out: tx.add_relevance(df, q, "title_n", "artist_n", "indexed", playable, out)
+    plain = add(rows, "q", "score")
+    other = add(rows.filter(F.col("q") != F.col("corrected")), "corrected", "score")
+    scored = plain.unionByName(other).filter(F.col("score") >= RELEVANCE_FLOOR)
     best = [F.desc(F.round("score", 6)), F.desc("indexed"), F.asc("track_id")]
     once = scored.withColumn("n", F.row_number().over(W.partitionBy("query_id", "identity").orderBy(*best))).filter("n = 1")
     per_query = W.partitionBy("query_id")
@@ -235,8 +243,8 @@ def merge_search(local: DataFrame, external: DataFrame, size: int = PAGE) -> Dat
         F.min_by(F.struct("query", "track_id", "title", "artist", "analysed", "playable"), F.col("worse")).alias("r"),
         F.min("place").alias("place")).select("query_id", "place", "r.*")
     n = lambda c: tx.normalize_search_folded(c)
-    scored = packed.withColumns({"q": n("query"), "t": n("title"), "a": n("artist")}).withColumn(
-        "relevance", tx.search_relevance("q", "t", "a", "analysed", "playable"))
+    scored = tx.add_relevance(packed.withColumns({"q": n("query"), "t": n("title"), "a": n("artist")}),
+                              "q", "t", "a", "analysed", "playable")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("relevance", 6)), "place")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).select(
         "query_id", "track_id", "title", "artist", "relevance", "rank")

@@ -39,6 +39,10 @@ def norm_search(x: str) -> str:
     return words_only(f"translate(lower(coalesce({x}, '')), '''’`', '')")
 
 
+def norm_folded(x: str) -> str:
+    return words_only(f"translate(lower(strip_accents({x})), '''’`', '')")
+
+
 def mood(t: str, a: str) -> str:
     text = f"lower(trim(coalesce({t}, '') || ' ' || coalesce({a}, '')))"
     return (f"CASE WHEN regexp_matches({text}, '{tx.NEGATIVE_TITLE}') THEN -1 "

@@ -26,8 +26,8 @@ def relevance_sql(source: str) -> str:
     return f"""SELECT *, cov * 40 + tcov * 10 + acov * 6 + {b('combined = q OR reversed = q', 80)} + {b('t = q', 65)} + {b('contains(combined, q) OR contains(reversed, q)', 30)}
   + {b('contains(q, t) AND len(t) >= 3', 22)} + {b('starts_with(combined, q) OR starts_with(reversed, q)', 12)} + {EDIT.format('q', 'combined')} * 14 + {EDIT.format('q', 't')} * 6
   - CASE WHEN cov < 1 THEN (1 - cov) * 18 ELSE 0 END + {b('analysed', 0.35)} + {b('playable', 0.15)} AS relevance
- FROM (SELECT *, {cover('qt', 'list_concat(tt, at)')} AS cov, {cover('qt', 'tt')} AS tcov, {cover('qt', 'at')} AS acov FROM (
-  SELECT *, trim(t || ' ' || a) AS combined, trim(a || ' ' || t) AS reversed, {TOK.format('q')} AS qt, {TOK.format('t')} AS tt, {TOK.format('a')} AS at FROM ({source})))"""
+ FROM (SELECT *, {cover('qt', 'list_concat(tt, aw)')} AS cov, {cover('qt', 'tt')} AS tcov, {cover('qt', 'aw')} AS acov FROM (
+  SELECT *, trim(t || ' ' || a) AS combined, trim(a || ' ' || t) AS reversed, {TOK.format('q')} AS qt, {TOK.format('t')} AS tt, {TOK.format('a')} AS aw FROM ({source})))"""
 
 
 Q1 = "small artist 1"
@@ -60,7 +60,7 @@ def q_normalize_search(c):
     return c.tracks.select("track_id", tx.normalize_search("title").alias("title_n"), tx.search_text("title", "artist").alias("search_text"))
 
 
-@query("q_normalize_folded", sql=f"SELECT doc_id, len({o.words_only('translate(lower(strip_accents(text)), ' + chr(39) * 4 + '’`' + chr(39) + ', ' + chr(39) * 2 + ')')}) AS n, md5({o.words_only('translate(lower(strip_accents(text)), ' + chr(39) * 4 + '’`' + chr(39) + ', ' + chr(39) * 2 + ')')}) AS digest FROM documents")
+@query("q_normalize_folded", sql=f"SELECT doc_id, len({o.norm_folded('text')}) AS n, md5({o.norm_folded('text')}) AS digest FROM documents")
 def q_normalize_folded(c):
     """Whole document texts (accented French, German, Spanish) folded and compared by digest."""
     folded = tx.normalize_search_folded("text")
@@ -129,7 +129,8 @@ PAIR_TEXT = f"SELECT rp.*, {N('a.title')} AS q, {N('b.title')} AS t, {N('b.artis
 
 @query("q_search_relevance", sql=f"SELECT anchor_id, track_id, round(relevance, 6) + 0.0 AS relevance FROM ({relevance_sql(PAIR_TEXT)})")
 def q_search_relevance(c):
-    return title_pairs(c).select("anchor_id", "track_id", r6(tx.search_relevance("q", "t", "a", "analysed", F.col("preview_url").isNotNull()), "relevance"))
+    scored = tx.add_relevance(title_pairs(c), "q", "t", "a", "analysed", F.col("preview_url").isNotNull())
+    return scored.select("anchor_id", "track_id", r6("relevance"))
 
 
 WORDS = {"vocab_words": f"SELECT DISTINCT unnest({TOK.format(N('title || chr(32) || artist'))}) AS word FROM tracks",
