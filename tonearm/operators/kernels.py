@@ -142,7 +142,7 @@ class Worker:
             if value in self.index:
                 mask[self.index[value]] = False
         for value in recordings:
-            mask[self.by_identity.get(value, ())] = False
+            mask[self.by_identity.get(value, [])] = False
         return mask
 
     def index_used(self):
@@ -152,7 +152,7 @@ class Worker:
     def repeated(self, names):
         mask = np.zeros(self.size, dtype=bool)
         for value in names:
-            mask[self.by_artist.get(value, ())] = True
+            mask[self.by_artist.get(value, [])] = True
         return mask
 
     def reset(self):
