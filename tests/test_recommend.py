@@ -93,9 +93,9 @@ def greedy(library, anchor, k, shortlist):
 
 
 def test_chain_equals_row_by_row_greedy(spark, library):
-    requests = spark.createDataFrame([(a, a) for a in ("apple-1", "apple-2", "apple-30")], "request_id string, anchor_id string")
+    requests = spark.createDataFrame([(a, a) for a in ("apple-1", "apple-30")], "request_id string, anchor_id string")
     out = chain.transition_chain(requests, library, k=4, themes=CHECK_THEMES, shortlist=9, block_rows=8).collect()
-    for anchor in ("apple-1", "apple-2", "apple-30"):
+    for anchor in ("apple-1", "apple-30"):
         got = [r.track_id for r in sorted((r for r in out if r.request_id == anchor), key=lambda r: r.step)]
         assert got == greedy(library, anchor, 4, 9)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import json
 
 from pyspark.sql import Column, functions as F
 
@@ -11,8 +11,10 @@ from tonearm.functions.text import clean, col
 
 
 def _map(pairs) -> Column:
-    pairs = list(pairs)
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in pairs))
+    """A constant map; one parsed literal keeps the plan small and folds at planning time."""
+    values = dict(pairs)
+    kind = "double" if all(isinstance(v, float) for v in values.values()) else "string"
+    return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
 
 
 class Styles:

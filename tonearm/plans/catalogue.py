@@ -77,9 +77,9 @@ def q_identity_variants(c):
 
 
 MERGE_VIEWS = {
-    "existing": f"SELECT track_id, title, artist, album, provider_genre, seed_genre, year FROM tracks WHERE {NUM} % 3 <> 0",
+    "existing": f"SELECT track_id, title, artist, album, provider_genre, seed_genre, year FROM tracks WHERE source IS NOT NULL",
     "batch": f"""SELECT track_id, title, artist, album || ' (new)' AS album, provider_genre, seed_genre, year,
-      {NUM} AS position FROM tracks WHERE {NUM} % 2 = 0""",
+      {NUM} AS position FROM tracks""",
     "known": f"SELECT DISTINCT {UNICODE_ID} AS identity FROM existing",
     "fresh": f"""SELECT * FROM (SELECT *, {UNICODE_ID} AS identity FROM batch) WHERE track_id NOT IN (SELECT track_id FROM existing)
       AND identity NOT IN (SELECT identity FROM known) QUALIFY row_number() OVER (PARTITION BY identity ORDER BY position) = 1""",
@@ -94,10 +94,11 @@ SELECT track_id, title, artist, album, provider_genre FROM existing WHERE track_
 UNION ALL SELECT b.track_id, b.title, b.artist, b.album, b.provider_genre FROM batch b, merge_stop WHERE position <= stop
   AND (b.track_id IN (SELECT track_id FROM existing) OR b.track_id IN (SELECT track_id FROM inserted))""")
 def q_merge_catalogue(c):
-    t = c.tracks.select("track_id", "title", "artist", "album", "provider_genre", "seed_genre", "year")
-    number = F.expr(NUM)
-    batch = t.filter(number % 2 == 0).withColumns({"album": F.concat("album", F.lit(" (new)")), "position": number})
-    merged = cat.merge_catalogue(t.filter(number % 3 != 0), batch, max_new=40)
+    """The provider batch is the whole catalogue; rows without a source are not in ours yet."""
+    columns = ["track_id", "title", "artist", "album", "provider_genre", "seed_genre", "year"]
+    existing = c.tracks.filter("source IS NOT NULL").select(*columns)
+    batch = c.tracks.select(*columns).withColumns({"album": F.concat("album", F.lit(" (new)")), "position": F.expr(NUM)})
+    merged = cat.merge_catalogue(existing, batch, max_new=40)
     return merged.select("track_id", "title", "artist", "album", "provider_genre")
 
 
@@ -125,10 +126,10 @@ def q_round_robin(c):
 
 
 @query("q_enrich_preview", sql=f"""
-SELECT track_id, CASE WHEN {NUM} % 4 = 0 THEN 'https://new.test/' || {NUM} ELSE preview_url END AS preview_url FROM tracks""")
+SELECT track_id, CASE WHEN source IS NULL THEN 'https://new.test/' || {NUM} ELSE preview_url END AS preview_url FROM tracks""")
 def q_enrich_preview(c):
-    number = F.expr(NUM)
-    lookup = c.tracks.filter(number % 4 == 0).select("track_id", F.concat(F.lit("https://new.test/"), number.cast("string")).alias("preview_url"))
+    lookup = c.tracks.filter("source IS NULL").select(
+        "track_id", F.concat(F.lit("https://new.test/"), F.expr(NUM).cast("string")).alias("preview_url"))
     return cat.enrich_preview(c.tracks.select("track_id", "preview_url"), lookup)
 
 
