@@ -23,5 +23,5 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
 def test_query_matches_sql(spark, con, name):
     status, rows, _, _, note = compare(spark, con, SMALL, name, QUERIES[name], ORACLE.get(name))
-    # the third page of the smallest catalogue is empty on both sides
-    assert status in ("ok", "rows") or (status == "EMPTY" and name == "q_page"), note
+    # the smallest catalogue has no third page and no track without a fingerprint: empty on both sides
+    assert status in ("ok", "rows") or (status == "EMPTY" and name in ("q_page", "q_index_backlog")), f"{status} {note}"
