@@ -62,17 +62,20 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weight_col: str | None = None, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS,
+        quality: DataFrame | None = None, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS,
         rows_per_range: int = ROWS_PER_RANGE, seed: str = SEED) -> DataFrame:
     """doc_id, size, source, source_size, target, taken of every row of ``docs``.
 
-    ``weight_col``: positive quality weight of a row (null or not above 0: 1).
+    ``quality``: positive quality weights (doc_id, weight), one row per id; a
+    document that is not in it weighs 1.  It is joined after the texts are left out.
     """
-    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    weight = F.when(weight > 0, weight).otherwise(F.lit(1.0))
-    sized = materialize(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.xxhash64(F.col(text_col)).alias("digest"), (-F.log(uniform(F.col(id_col), seed)) / weight).alias("key")))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+                        F.xxhash64(F.col(text_col)).alias("digest"), (-F.log(uniform(F.col(id_col), seed))).alias("key"))
+    if quality is not None:
+        rated = quality.select(F.col("doc_id").alias("__rated"), F.col("weight").cast("double").alias("weight"))
+        sized = (sized.join(rated, sized["doc_id"] == rated["__rated"], "left")
+                 .withColumn("key", F.col("key") / F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(1.0))).drop("__rated", "weight"))
+    sized = materialize(sized)
     totals = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     plan = materialize(source_targets(totals, weights, share, max_epochs)).withColumnRenamed("source", "__source")
     ranges = F.ceil(F.col("n_docs") / F.lit(rows_per_range)).cast("long")
@@ -91,17 +94,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                        (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``quality_weight``: 2 where a label calls the document good, else 1."""
-    good = labels.filter(F.col("quality") == 1).groupBy(F.col("doc_id").alias("__labelled")).agg(F.lit(2.0).alias("quality_weight"))
-    return (docs.join(good, docs["doc_id"] == good["__labelled"], "left").drop("__labelled")
-            .withColumn("quality_weight", F.coalesce("quality_weight", F.lit(1.0))))
+def label_weights(labels: DataFrame) -> DataFrame:
+    """doc_id, weight: 2 for the documents that a label calls good."""
+    return labels.filter(F.col("quality") == 1).groupBy("doc_id").agg(F.lit(2.0).alias("weight"))
 
 
 def op10_mix_sources(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    sized = with_quality(docs.select("doc_id", "text", "source"), table(spark, folder, "labels"))
-    return mix(sized, weight_col="quality_weight").select("doc_id", "size", "source_size", "target", "taken")
+    quality = label_weights(table(spark, folder, "labels"))
+    return mix(table(spark, folder, "documents"), quality=quality).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_sql(source: str, name: str = "mixed") -> str:
