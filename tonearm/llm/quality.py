@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tonearm.llm.common import arrow_rows, as_bytes, table
 from tonearm.session import materialize
@@ -144,7 +144,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     return passed.join(bad, passed[host_col].cast("string").eqNullSafe(bad["__host"]), "left_anti")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _passes(texts: pd.Series) -> pd.Series:
     out = []
     for text in texts:
