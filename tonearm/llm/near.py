@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tonearm.llm.common import Rolling, U64, WordHashes, as_bytes, table
+from tonearm.llm.common import Rolling, U64, WordHashes, as_bytes, fresh, table
 from tonearm.llm.components import components
 from tonearm.session import materialize
 
@@ -273,11 +273,12 @@ def _verified(docs, members, id_col, text_col, threshold, block_sets, block_shin
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each class: that with the smallest id (of repeated rows, one)."""
+    own, text, other, hashed = fresh(docs, "__own", "__text", "__id", "__hash")
     stays = near_duplicates(docs, id_col, text_col, **how).filter("stays").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumns({"__own": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__text": F.xxhash64(F.col(text_col))})
-    kept = keyed.join(stays, (keyed["__own"] == stays["__id"]) & (keyed["__text"] == stays["__hash"]), "left_semi")
-    return kept.dropDuplicates(["__own", "__text"]).drop("__own", "__text")
+        F.col("doc_id").alias(other), F.col("text_hash").alias(hashed)).distinct()
+    keyed = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), text: F.xxhash64(F.col(text_col))})
+    kept = keyed.join(stays, (keyed[own] == stays[other]) & (keyed[text] == stays[hashed]), "left_semi")
+    return kept.dropDuplicates([own, text]).drop(own, text)
 
 
 def op7_near_duplicates(spark, folder):
