@@ -158,9 +158,9 @@ def infer_subgenre(df: DataFrame, artists: DataFrame | None = None, overrides: D
     seed = F.lower(F.trim(F.coalesce("seed_genre", F.lit(""))))
     filled = lambda name: F.when(F.coalesce(F.col(name), F.lit("")) != "", F.col(name))
     style = F.coalesce(
-        "_o", "_a", F.element_at(_map(genre_aliases or tx.aliases(tx.GENRE_ALIAS_TEXT)), g),
+        "_o", "_a", F.element_at(_map(genre_aliases or tx.GENRE_ALIASES.items()), g),
         F.element_at(_map(canonical.items()), g),
-        F.element_at(_map(seed_aliases or tx.aliases(tx.SEED_ALIAS_TEXT)), seed),
+        F.element_at(_map(seed_aliases or tx.SEED_ALIASES.items()), seed),
         F.lower(F.trim(F.coalesce(filled(genre), filled("seed_genre"), F.lit("Music")))))
     return out.withColumn("subgenre", style).drop("_o", "_a")
 

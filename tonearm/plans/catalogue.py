@@ -139,8 +139,8 @@ _values = lambda rows: ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r
 SUB_VIEWS = {
     "sg_artists": f"SELECT lower(a) AS name, s AS style FROM (VALUES {_values(ARTIST_ROWS)}) v(a, s)",
     "sg_over": f"SELECT lower(a) AS name, t AS title, s AS style, p AS pos FROM (VALUES {_values(OVERRIDE_ROWS)}) v(a, t, s, p)",
-    "sg_genre": f"SELECT * FROM (VALUES {_values(tx.aliases(tx.GENRE_ALIAS_TEXT))}) v(g, s)",
-    "sg_seed": f"SELECT * FROM (VALUES {_values(tx.aliases(tx.SEED_ALIAS_TEXT))}) v(g, s)",
+    "sg_genre": f"SELECT * FROM (VALUES {_values(tx.GENRE_ALIASES.items())}) v(g, s)",
+    "sg_seed": f"SELECT * FROM (VALUES {_values(tx.SEED_ALIASES.items())}) v(g, s)",
     "sg_canon": "SELECT trim(regexp_replace(style, '[^a-z0-9]+', ' ', 'g')) AS g, style AS s FROM families",
     "sg_names": r"""SELECT track_id, unnest(list_distinct(list_filter(list_concat([trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g'))],
       list_transform(regexp_split_to_array(lower(artist), '\s*(?:&|,|/|;|\bfeat\.?\b|\bfeaturing\b|\bx\b)\s*'),
