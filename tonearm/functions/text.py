@@ -32,6 +32,9 @@ def recording_identity(title, artist, dialect: str = "hosted") -> Column:
     return F.concat(title_key(title, dialect), F.lit("::"), words_only(clean(artist), keep))
 
 
+NOT_ASCII = r"[^\x00-\x7f]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfkd(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKD")
@@ -43,14 +46,16 @@ def _casefold(values: pd.Series) -> pd.Series:
 
 
 def nfkd(value) -> Column:
-    """Compatibility decomposition; rows that are plain ASCII never reach Python."""
+    """Compatibility decomposition.  Plain ASCII strings are not sent to Python: it gets a null in their place."""
     value = col(value)
-    return F.when(value.rlike(r"[^\x00-\x7f]"), _nfkd(value)).otherwise(value)
+    other = value.rlike(NOT_ASCII)
+    return F.when(other, _nfkd(F.when(other, value))).otherwise(value)
 
 
 def casefold(value) -> Column:
     value = col(value)
-    return F.when(value.rlike(r"[^\x00-\x7f]"), _casefold(value)).otherwise(F.lower(value))
+    other = value.rlike(NOT_ASCII)
+    return F.when(other, _casefold(F.when(other, value))).otherwise(F.lower(value))
 
 
 def identity(title, artist, mode: str = "exact") -> Column:

@@ -9,21 +9,37 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tonearm import schemas
 from tonearm.functions import taxonomy as tx
 from tonearm.functions.text import identity
+from tonearm.session import materialize
 
 
 def fill_themes(df: DataFrame, columns=("theme_1", "theme_2", "theme_3", "theme_4")) -> DataFrame:
     return df.fillna("none", list(columns))
 
 
+def ranked(frame: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Add the 0-based place in the whole order.
+
+    Ranges are numbered on their own and moved by the sizes of the ranges before them, so no task
+    sees more than one range.
+    """
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(frame.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row per range
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    placed = cut.withColumn(name, within).join(before, "_range")
+    return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Alphabetical codes from 0.
 
-    Only the distinct labels are numbered; the fact table is joined to that small
-    dictionary and never sorted as a whole.
+    Only the distinct labels are numbered, range by range; the fact table is joined
+    to that dictionary and never sorted as a whole.
     """
     for c in columns:
         labels = df.select(F.col(c).cast("string").alias("label")).distinct()
-        codes = labels.withColumn(f"{c}_encoded", F.row_number().over(W.orderBy("label")) - 1)
+        codes = ranked(labels, F.col("label").asc_nulls_first(), name=f"{c}_encoded")
         df = df.join(codes, df[c].cast("string").eqNullSafe(codes["label"]), "left").drop("label")
     return df
 
@@ -54,11 +70,12 @@ def stratified_split(df: DataFrame, by: str, fraction: float = 0.2, seed: int =
     prefix = hashed.withColumn("_b", F.substring("_h", 1, 4))
     counts = prefix.groupBy(by, "_b").agg(F.count("*").alias("_n"))
     running = W.partitionBy(by).orderBy("_b")
+    # a null stratum is a stratum like any other: its rows are joined null-safe below
     totals = counts.withColumn("_upto", F.sum("_n").over(running)).withColumn(
         "_total", F.sum("_n").over(W.partitionBy(by)))
     totals = totals.withColumn("_want", F.round(F.col("_total") * fraction))
-    cut = totals.select(by, "_b", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", "_want")
-    placed = prefix.join(cut, [by, "_b"])
+    cut = totals.select(F.col(by).alias("_by"), F.col("_b").alias("_cut"), (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", "_want")
+    placed = prefix.join(cut, prefix[by].eqNullSafe(cut["_by"]) & (prefix["_b"] == cut["_cut"])).drop("_by", "_cut")
     # only the prefix that straddles the cut needs an order inside it (1/65536 of a stratum)
     inside = F.when((F.col("_before") < F.col("_want")) & (F.col("_upto") > F.col("_want")), F.col("_b"))
     rank = F.row_number().over(W.partitionBy(by, "_b").orderBy("_h"))
@@ -67,11 +84,12 @@ def stratified_split(df: DataFrame, by: str, fraction: float = 0.2, seed: int =
     return placed.withColumn("split", split).drop("_h", "_b", "_before", "_upto", "_want")
 
 
-def merge_catalogue(existing: DataFrame, batch: DataFrame, max_new: int | None = 1000) -> DataFrame:
+def merge_catalogue(existing: DataFrame, batch: DataFrame, max_new: int | None = None) -> DataFrame:
     """Merge a provider batch (same columns plus ``position``) into the catalogue.
 
     A known id is updated in place, an unknown id with a known recording is skipped,
-    anything else is inserted until ``max_new`` rows are new; later rows are ignored.
+    anything else is inserted.  ``max_new`` bounds a batch: once so many rows are new, later rows
+    are ignored.
     """
     columns = existing.columns
     keyed = batch.withColumn("_identity", identity("title", "artist", "unicode"))

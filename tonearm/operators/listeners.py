@@ -28,16 +28,25 @@ def over_limit(favorites: DataFrame, limit: int = LIMITS["favorites"]) -> DataFr
     return favorites.groupBy("user_id").agg(F.count("*").alias("entries")).filter(F.col("entries") > limit)
 
 
-def record_runs(recommendations: DataFrame, mode: str, weights: dict) -> tuple[DataFrame, DataFrame]:
-    """Split recommendation rows (user_id, anchor_id, track_id, rank, hybrid_score) into runs and items."""
-    keyed = recommendations.withColumn(
-        "run_id", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "anchor_id", F.lit(mode)), 256))
-    runs = keyed.select(F.col("run_id").alias("id"), "user_id", F.col("anchor_id").alias("anchor_track_id"),
-                        F.lit(mode).alias("mode")).distinct()
-    pairs = [F.lit(x) for kv in sorted(weights.items()) for x in kv]
-    runs = runs.withColumn("weights", F.to_json(F.create_map(*pairs)))
-    items = keyed.select("run_id", "track_id", F.col("rank").cast("bigint").alias("rank"),
-                         F.col("hybrid_score").alias("score"))
+def record_runs(recommendations: DataFrame, tracks: DataFrame, weights: dict[str, dict]) -> tuple[DataFrame, DataFrame]:
+    """Split recommendation rows into runs and items; ``history`` reads both.
+
+    recommendations(request_id, user_id, anchor_id, mode, created_at, track_id, rank, hybrid_score): every
+    request is a run of its own, also if a listener repeats it.  ``weights``: component weights of each mode.
+    """
+    keys = ["request_id", "user_id", "anchor_id", "mode", "created_at"]
+    shown = tracks.select("track_id", "title", "artist", F.col("provider_subgenre").alias("subgenre"))
+    text = None
+    for mode, parts in weights.items():
+        json = F.to_json(F.create_map(*[F.lit(x) for kv in sorted(parts.items()) for x in kv]))
+        text = F.when(F.col("mode") == mode, json) if text is None else text.when(F.col("mode") == mode, json)
+    anchors = shown.select(F.col("track_id").alias("anchor_id"), F.col("title").alias("anchor_title"), F.col("artist").alias("anchor_artist"))
+    runs = recommendations.select(*keys).distinct().join(anchors, "anchor_id", "left").select(
+        F.col("request_id").alias("id"), "user_id", F.col("anchor_id").alias("anchor_track_id"), "anchor_title", "anchor_artist", "mode",
+        "created_at", text.alias("weights"))
+    items = recommendations.join(shown, "track_id", "left").select(
+        F.col("request_id").alias("run_id"), "track_id", "title", "artist", "subgenre", F.col("rank").cast("bigint").alias("rank"),
+        F.col("hybrid_score").alias("score"))
     return runs, items
 
 

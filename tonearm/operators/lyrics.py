@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tonearm.functions.vectors import clip
+from tonearm.limits import MAX_LIST, within
+from tonearm.session import broadcast_if_small
 
 WORD = r"([\p{L}\p{N}']+)"
 
@@ -12,20 +14,20 @@ WORD = r"([\p{L}\p{N}']+)"
 def lyric_features(texts: DataFrame, vocabulary: DataFrame, themes: list[str]) -> DataFrame:
     """Theme counts, sentiment, arousal and confidence of each text.
 
-    texts(track_id, text, language); vocabulary(word, kind, theme).  The whole
-    text is read; words outside the vocabulary are dropped by the broadcast join
-    in the same task, and counts are combined map-side before the shuffle.
+    texts(track_id, text, language), one row per track; vocabulary(word, kind, theme).
+    The whole text is cut into words once; the number of words travels with each,
+    and all counts are combined map-side before the one shuffle.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(1))
-    tokens = texts.select("track_id", F.explode(words).alias("word"))
-    known = tokens.join(F.broadcast(vocabulary), "word")  # the vocabulary is a fixed word list
+    cut = texts.select("track_id", "language", words.alias("all"))
+    tokens = cut.select("track_id", "language", F.size("all").cast("double").alias("words"), F.explode_outer("all").alias("word"))
+    known = tokens.join(broadcast_if_small(vocabulary, 256), "word", "left")
     total = lambda kind: F.count_if(F.col("kind") == kind).cast("double").alias(kind)
     theme_counts = [F.count_if((F.col("kind") == "theme") & (F.col("theme") == t)).cast("double").alias(f"t{i}")
                     for i, t in enumerate(themes)]
-    counted = known.groupBy("track_id").agg(total("positive"), total("negative"), total("arousal"), *theme_counts)
-    base = texts.select("track_id", "language", F.size(words).cast("double").alias("words"))
     names = [f"t{i}" for i in range(len(themes))]
-    out = base.join(counted, "track_id", "left").fillna(0.0, ["positive", "negative", "arousal", *names])
+    out = known.groupBy("track_id").agg(F.max("language").alias("language"), F.max("words").alias("words"),
+                                        total("positive"), total("negative"), total("arousal"), *theme_counts)
 
     top = F.greatest(F.lit(1.0), *[F.col(n) for n in names])
     listed = F.array(*[F.struct(F.col(n).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t"))
@@ -45,9 +47,9 @@ def lyric_features(texts: DataFrame, vocabulary: DataFrame, themes: list[str]) -
 
 
 def lyric_backlog(tracks: DataFrame, analysed: DataFrame, limit: int = 10) -> DataFrame:
-    """First tracks by id that have no lyric features yet; batch size 1..50."""
+    """First tracks by id that have no lyric features yet; a batch has at most 50."""
     return (tracks.select("track_id", "title", "artist").join(analysed.select("track_id"), "track_id", "left_anti")
-            .orderBy("track_id").limit(max(1, min(50, limit))))
+            .orderBy("track_id").limit(within(limit, MAX_LIST, "limit")))
 
 
 def run_summary(results: DataFrame) -> DataFrame:

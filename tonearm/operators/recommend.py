@@ -26,6 +26,7 @@ from tonearm.functions import acoustic
 from tonearm.functions import taxonomy as tx
 from tonearm.functions.style import Styles
 from tonearm.functions.vectors import unit
+from tonearm.limits import MAX_LIST, within
 from tonearm.operators import blocks, kernels
 from tonearm.operators.library import pair_up
 from tonearm.session import materialize
@@ -131,7 +132,7 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
         raise ValueError(f"unknown mode {mode}")
     if genre_scope not in SCOPES:
         raise ValueError(f"unknown genre scope {genre_scope}")
-    k = max(1, min(50, int(k)))
+    k = within(k, MAX_LIST, "k")
     chosen = check_weights(weights) if mode == "similar" and weights else tx.MODE_WEIGHTS[mode]
     styles = styles or Styles(dialect=dialect)
     if blocked is None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tonearm.functions import text as tx
 from tonearm.functions.taxonomy import families as default_families
+from tonearm.limits import MAX_PAGE, MAX_SEARCH, within
 from tonearm.operators.catalogue import first_by
 
 # fixed values: fuzzy search weights and thresholds, local search threshold
@@ -43,11 +44,11 @@ def filter_category(tracks: DataFrame, fingerprints: DataFrame, category: str, f
 
 def page(df: DataFrame, number: int = 1, size: int = PAGE, order=("title", "track_id")) -> DataFrame:
     """One page of distinct recordings with the total beside each row."""
-    size = max(1, min(100, size))
+    size = within(size, MAX_PAGE, "size")
     keyed = df.withColumn("_edition", tx.identity("title", "artist", "exact"))
     once = first_by(keyed, ["_edition"], ["track_id"]).drop("_edition")
     total = once.agg(F.count("*").alias("total"))
-    rows = once.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+    rows = once.orderBy(*order).offset((within(number, 1 << 31, "number") - 1) * size).limit(size)
     return rows.crossJoin(F.broadcast(total))  # a single row
 
 
@@ -88,7 +89,7 @@ def search_fuzzy(tracks: DataFrame, queries: DataFrame, limit: int = 80) -> Data
     least ceil(.16 n) shared trigrams, so the ceil(.16 n)-1 most frequent trigrams of each
     query are not probed at all; that keeps the hottest index entries out of the join.
     """
-    limit = max(1, min(200, limit))
+    limit = within(limit, MAX_SEARCH, "limit")
     texts = _texts(tracks).withColumns({"grams": tx.trigrams("text"), "run": tx.ordered_trigrams("text")})
     asked = queries.select("query_id", tx.normalize_search("query").alias("q")).filter(F.col("q") != "")
     asked = asked.withColumn("q_grams", tx.trigrams("q"))
@@ -224,7 +225,7 @@ def search_local(tracks: DataFrame, fingerprints: DataFrame, queries: DataFrame,
     per_query = W.partitionBy("query_id")
     ranked = once.withColumns({"position": F.row_number().over(per_query.orderBy(*best)),
                                "total": F.count("*").over(per_query), "best_score": F.max("score").over(per_query)})
-    first = (max(1, number) - 1) * size
+    first = (within(number, 1 << 31, "number") - 1) * size
     return ranked.filter((F.col("position") > first) & (F.col("position") <= first + size)).select(
         "query_id", "track_id", "score", "position", "total", "best_score", "corrected")
 

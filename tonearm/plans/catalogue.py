@@ -94,12 +94,26 @@ SELECT track_id, title, artist, album, provider_genre FROM existing WHERE track_
 UNION ALL SELECT b.track_id, b.title, b.artist, b.album, b.provider_genre FROM batch b, merge_stop WHERE position <= stop
   AND (b.track_id IN (SELECT track_id FROM existing) OR b.track_id IN (SELECT track_id FROM inserted))""")
 def q_merge_catalogue(c):
+    """A batch that stops after 40 new rows (the bound is the feature)."""
+    return merged(c, 40)
+
+
+def merged(c, most):
     """The provider batch is the whole catalogue; rows without a source are not in ours yet."""
     columns = ["track_id", "title", "artist", "album", "provider_genre", "seed_genre", "year"]
     existing = c.tracks.filter("source IS NOT NULL").select(*columns)
     batch = c.tracks.select(*columns).withColumns({"album": F.concat("album", F.lit(" (new)")), "position": F.expr(NUM)})
-    merged = cat.merge_catalogue(existing, batch, max_new=40)
-    return merged.select("track_id", "title", "artist", "album", "provider_genre")
+    out = cat.merge_catalogue(existing, batch, max_new=most)
+    return out.select("track_id", "title", "artist", "album", "provider_genre")
+
+
+@query("q_merge_catalogue_all", views=MERGE_VIEWS, sql="""
+SELECT track_id, title, artist, album, provider_genre FROM existing WHERE track_id NOT IN (SELECT track_id FROM batch)
+UNION ALL SELECT track_id, title, artist, album, provider_genre FROM batch
+  WHERE track_id IN (SELECT track_id FROM existing) OR track_id IN (SELECT track_id FROM fresh)""")
+def q_merge_catalogue_all(c):
+    """The same batch without a bound on new rows."""
+    return merged(c, None)
 
 
 @query("q_round_robin", views={"rr_pool": f"""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from tonearm.functions import taxonomy as tx
 from tonearm.operators import listeners as ls
 from tonearm.plans.registry import STAMP, query, r6, stamp
 
@@ -20,27 +23,58 @@ def q_favorites(c):
     return ls.update_favorites(c.favorites, added, removed).select("user_id", "track_id", stamp("created_at"))
 
 
-@query("q_record_runs", sql="""
-SELECT sha256(user_id || '|' || anchor_track_id || '|similar') AS run_id, user_id, anchor_track_id AS anchor_id, count(*) AS n,
-  max(score) AS best, '{"harmony":0.25,"rhythm":0.35,"timbre":0.4}' AS weights
-FROM runs JOIN items ON runs.id = items.run_id WHERE mode = 'similar' GROUP BY user_id, anchor_track_id""")
+WEIGHTS = {mode: dict(zip(("rhythm", "timbre", "harmony"), values)) for mode, values in tx.MODE_WEIGHTS.items()}
+WEIGHTS_SQL = " ".join(f"WHEN '{m}' THEN '{json.dumps(w, sort_keys=True, separators=(',', ':'))}'" for m, w in WEIGHTS.items())
+
+
+def recorded(c):
+    """The recommendation rows of every request, recorded anew."""
+    recs = c.runs.join(c.items, c.runs.id == c.items.run_id).select(
+        F.col("id").alias("request_id"), "user_id", F.col("anchor_track_id").alias("anchor_id"), "mode", "created_at", "track_id", "rank",
+        F.col("score").alias("hybrid_score"))
+    return ls.record_runs(recs, c.tracks, WEIGHTS)
+
+
+@query("q_record_runs", sql=f"""
+SELECT r.id AS run_id, r.user_id, r.anchor_track_id AS anchor_id, a.title AS anchor_title, a.artist AS anchor_artist, r.mode,
+  {STAMP.format('r.created_at')} AS created_at, count(*) AS n, max(i.score) AS best, count(t.title) AS titled, min(t.provider_subgenre) AS subgenre,
+  CASE r.mode {WEIGHTS_SQL} END AS weights
+FROM runs r JOIN items i ON r.id = i.run_id LEFT JOIN tracks a ON a.track_id = r.anchor_track_id LEFT JOIN tracks t ON t.track_id = i.track_id GROUP BY ALL""")
 def q_record_runs(c):
-    recs = (c.runs.filter("mode = 'similar'").join(c.items, c.runs.id == c.items.run_id)
-            .select("user_id", F.col("anchor_track_id").alias("anchor_id"), "track_id", "rank", F.col("score").alias("hybrid_score")))
-    runs, items = ls.record_runs(recs, "similar", {"rhythm": 0.35, "timbre": 0.40, "harmony": 0.25})
-    counted = items.groupBy("run_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    return runs.join(counted, runs.id == counted.run_id).select("run_id", "user_id", F.col("anchor_track_id").alias("anchor_id"), "n", "best", "weights")
+    runs, items = recorded(c)
+    counted = items.groupBy("run_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.count("title").alias("titled"),
+                                          F.min("subgenre").alias("subgenre"))
+    return runs.join(counted, runs.id == counted.run_id).select(
+        "run_id", "user_id", F.col("anchor_track_id").alias("anchor_id"), "anchor_title", "anchor_artist", "mode", stamp("created_at"), "n", "best",
+        "titled", "subgenre", "weights")
 
 
 LATEST = {"latest": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS position FROM runs QUALIFY position <= 30"}
 
 
+RECORDED = {"latest": """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS position FROM runs
+  WHERE id IN (SELECT run_id FROM items) QUALIFY position <= 30"""}
+
+
 @query("q_history", views=LATEST, sql=f"""
 SELECT l.user_id, l.id, l.mode, {STAMP.format('l.created_at')} AS created_at, CAST(l.position AS BIGINT) AS position,
   coalesce(string_agg(i.rank || ':' || i.track_id, ',' ORDER BY i.rank), '') AS suggestions
 FROM latest l LEFT JOIN items i ON i.run_id = l.id AND i.rank <= 12 GROUP BY ALL""")
 def q_history(c):
-    out = ls.history(c.runs, c.items)
+    return _history(c.runs, c.items)
+
+
+@query("q_record_history", views=RECORDED, sql=f"""
+SELECT l.user_id, l.id, l.mode, {STAMP.format('l.created_at')} AS created_at, CAST(l.position AS BIGINT) AS position,
+  coalesce(string_agg(i.rank || ':' || i.track_id, ',' ORDER BY i.rank), '') AS suggestions
+FROM latest l LEFT JOIN items i ON i.run_id = l.id AND i.rank <= 12 GROUP BY ALL""")
+def q_record_history(c):
+    """History over runs as record_runs writes them."""
+    return _history(*recorded(c))
+
+
+def _history(runs, items):
+    out = ls.history(runs, items)
     text = F.array_join(F.transform("suggestions", lambda s: F.concat_ws(":", s["rank"].cast("string"), s["track_id"])), ",")
     return out.select("user_id", "id", "mode", stamp("created_at"), F.col("position").cast("bigint").alias("position"),
                       F.coalesce(text, F.lit("")).alias("suggestions"))

@@ -96,10 +96,11 @@ def q_library(c):
 
 
 @query("q_export_manifest", sql="""
-SELECT n AS indexed, substring(sha256(n || '-' || x || '-' || s), 1, 16) AS version, (SELECT count(*) FROM tracks) AS total FROM (
- SELECT count(*) AS n, bit_xor(h) AS x, CAST(sum(h % 1000000007) AS BIGINT) AS s FROM (
-  SELECT CAST('0x' || substring(sha256(track_id || '|' || acoustic_signature || '|' ||
-   array_to_string(list_transform(vector, lambda v: CAST(round(v * 1e6) AS BIGINT)), ',')), 1, 12) AS BIGINT) AS h FROM fp))""")
+SELECT n AS indexed, substring(sha256(n || '-' || w), 1, 16) AS version, (SELECT count(*) FROM tracks) AS total FROM (
+ SELECT (SELECT count(*) FROM fp) AS n, string_agg(s, '-' ORDER BY i) AS w FROM (
+  SELECT i, CAST(CAST(sum(CAST('0x' || substring(h, 1 + 8 * i, 8) AS BIGINT)) AS BIGINT) AS VARCHAR) AS s FROM (
+   SELECT sha256(track_id || '|' || acoustic_signature || '|' ||
+    array_to_string(list_transform(vector, lambda v: CAST(round(v * 1e6) AS BIGINT)), ',')) AS h FROM fp), range(8) r(i) GROUP BY i))""")
 def q_export_manifest(c):
     return src.export_manifest(c.tracks, c.fingerprints).select("indexed", "version", "total")
 

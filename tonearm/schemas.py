@@ -28,27 +28,8 @@ TRACKS = _struct(
     track_id=STR, title=STR, artist=STR, album=STR, provider_genre=STR, provider_subgenre=STR, seed_genre=STR,
     year=INT, duration_ms=INT, artwork_url=STR, external_url=STR, source=STR, preview_url=STR,
 )
-FINGERPRINTS = _struct(track_id=STR, vector=T.ArrayType(DBL), profile=PROFILE, acoustic_signature=STR)
-LYRIC_FEATURES = _struct(
-    track_id=STR, language=STR, instrumental=BOOL, themes=T.ArrayType(STR), theme_vector=T.MapType(STR, DBL),
-    sentiment=DBL, arousal=DBL, confidence=DBL,
-)
-LEARNED_INDEX = _struct(
-    track_id=STR, embedding=T.ArrayType(INT), mood_scores=T.ArrayType(DBL), preview_seconds=DBL,
-)
-INTERACTIONS = _struct(
-    event_id=LONG, user_id=LONG, track_id=STR, event_type=STR, value=DBL, created_at=T.TimestampNTZType(),
-)
-RUNS = _struct(
-    id=LONG, user_id=LONG, anchor_track_id=STR, mode=STR, created_at=T.TimestampNTZType(),
-)
-ITEMS = _struct(run_id=LONG, track_id=STR, rank=LONG, score=DBL)
 
-# Vector layout: 10 measures, 13 timbre coefficients, 12 pitch classes.
-VECTOR_MEASURES = [
-    "bpm", "energy", "valence", "brightness", "spectral_centroid_hz", "spectral_rolloff_hz", "spectral_flux",
-    "rms_energy", "zero_crossing_rate", "tempo_confidence",
-]
+# Column, profile, event and mode names and the vector size are fixed values of the data contract.
 KEY_NAMES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 VECTOR_SIZE = 35
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def session(cores: str | int = "*", app: str = "tonearm", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -47,12 +47,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: survives executor loss and stops plan growth in loops."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df):
     """Write ``df`` to the shared folder and read it back.
 
@@ -66,6 +60,10 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """Largest plan-estimated size in bytes this library will broadcast by hint."""
-    return int(spark.conf.get("tonearm.broadcast.bytes", str(64 * 1024 * 1024)))
+def broadcast_if_small(df: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted, take at most ``most`` bytes; else as it is.
+
+    For tables that a caller hands over; ``row_bytes`` is a generous size of one row.
+    """
+    rows = df.limit(most // row_bytes + 1).count()
+    return F.broadcast(df) if rows * row_bytes <= most else df

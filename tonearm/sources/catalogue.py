@@ -127,13 +127,16 @@ def micros(values) -> Column:
 
 
 def content_version(df: DataFrame, text: Column) -> DataFrame:
-    """Order-free content hash: one row (rows, version).  Row hashes combine map-side, nothing is gathered."""
-    part = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("bigint")
-    combined = df.select(part.alias("h")).agg(
-        F.count("*").alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"),
-        F.coalesce(F.sum(F.col("h") % 1_000_000_007), F.lit(0)).alias("s"))
-    return combined.select(F.col("n").alias("rows"), F.substring(
-        F.sha2(F.concat_ws("-", *[F.col(c).cast("string") for c in ("n", "x", "s")]), 256), 1, 16).alias("version"))
+    """Order-free content hash: one row (rows, version).
+
+    The 256-bit row hashes are added up in eight 32-bit words, so every bit of every row counts.
+    The sums combine map-side, nothing is gathered.
+    """
+    digest = df.select(F.sha2(text, 256).alias("h"))
+    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
+    sums = digest.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(w), F.lit(0)).alias(f"w{i}") for i, w in enumerate(words)))
+    return sums.select(F.col("n").alias("rows"), F.substring(F.sha2(F.concat_ws(
+        "-", *[F.col(c).cast("string") for c in ("n", *(f"w{i}" for i in range(8)))]), 256), 1, 16).alias("version"))
 
 
 EXPORT_FIELDS = ["track_id", "title", "artist", "album", "artwork_url", "external_url", "source", "preview_url",

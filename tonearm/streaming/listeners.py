@@ -19,16 +19,20 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_available(df: DataFrame, mode: str, write) -> str:
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared checkpoint folder, for a run that nothing will continue."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(df: DataFrame, mode: str, write, base: str) -> str:
     """Drain what is there now; returns the folder that ``write(batch, epoch, folder)`` filled.
 
-    The query checkpoint and the results live in the shared checkpoint folder, so a restarted
-    query goes on where it stopped and a repeated epoch overwrites its own output.
+    ``base`` (a shared folder that the caller names) holds the query's state and results: a later
+    call with the same ``base`` goes on where this one stopped, and a repeated epoch overwrites its
+    own output.
     """
-    spark = df.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    out = f"{base}/out"
-    query = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    out = f"{base.rstrip('/')}/out"
+    query = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/state").trigger(availableNow=True)
              .foreachBatch(lambda batch, epoch: write(batch, epoch, out)).start())
     query.awaitTermination()
     return out
@@ -39,21 +43,21 @@ def write_epoch(batch: DataFrame, epoch: int, folder: str) -> None:
     batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
 
-def stream_taste(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_taste(events: DataFrame) -> DataFrame:
     """Latest (user, track, liked, disliked) rows from an interaction stream.
 
-    State is one small row per (user, track), never a growing set per user; late repeats of an
-    event are dropped within the watermark.
+    State is one small row per (user, track), never a growing set per user.  A repeated event
+    changes no maximum and a late one still counts, so the table does not depend on how the events
+    are cut into batches.
     """
-    once = events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["event_id"])
-    flags = once.select("user_id", "track_id", F.col("event_type").isin(schemas.POSITIVE_EVENTS).alias("liked"),
+    flags = events.select("user_id", "track_id", F.col("event_type").isin(schemas.POSITIVE_EVENTS).alias("liked"),
                         F.col("event_type").isin(schemas.NEGATIVE_EVENTS).alias("disliked"))
     return flags.groupBy("user_id", "track_id").agg(F.max("liked").alias("liked"), F.max("disliked").alias("disliked"))
 
 
-def taste_now(events: DataFrame) -> DataFrame:
+def taste_now(events: DataFrame, base: str | None = None) -> DataFrame:
     """Run the taste stream over what is available and return the current table."""
-    folder = run_available(stream_taste(events), "update", write_epoch)
+    folder = run_available(stream_taste(events), "update", write_epoch, base or new_folder(events.sparkSession))
     rows = events.sparkSession.read.parquet(folder)
     return last_by(rows, ["user_id", "track_id"], ["epoch"]).drop("epoch").filter("liked OR disliked")
 
@@ -89,8 +93,8 @@ def stream_feedback(events: DataFrame, limit: int = 100) -> DataFrame:
         bounded_feedback(limit), LIST_OUT, LIST_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def feedback_now(events: DataFrame, limit: int = 100) -> DataFrame:
-    folder = run_available(stream_feedback(events, limit), "update", write_epoch)
+def feedback_now(events: DataFrame, limit: int = 100, base: str | None = None) -> DataFrame:
+    folder = run_available(stream_feedback(events, limit), "update", write_epoch, base or new_folder(events.sparkSession))
     rows = events.sparkSession.read.parquet(folder)
     newest = rows.groupBy("user_id").agg(F.max("epoch").alias("epoch"))
     return rows.join(newest, ["user_id", "epoch"], "left_semi").drop("epoch")
@@ -101,9 +105,9 @@ def stream_status(landed: DataFrame) -> DataFrame:
     return landed.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def status_now(landed: DataFrame, tracks: DataFrame) -> DataFrame:
+def status_now(landed: DataFrame, tracks: DataFrame, base: str | None = None) -> DataFrame:
     """Index status (indexed, total, remaining, failures) from the stream of landed rows."""
-    folder = run_available(stream_status(landed), "complete", write_epoch)
+    folder = run_available(stream_status(landed), "complete", write_epoch, base or new_folder(landed.sparkSession))
     rows = landed.sparkSession.read.parquet(folder)
     latest = rows.groupBy("kind").agg(F.max_by("n", "epoch").alias("n"))
     pick = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
