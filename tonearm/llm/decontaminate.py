@@ -42,8 +42,8 @@ def words_of(text: Column) -> Column:
 def _runs(array: Column, size: int) -> Column:
     """Every ``size`` neighbours of an array as a struct.
 
-    Shifted copies are zipped: a lambda that looked back into the array would
-    compute the whole array again for each element once Catalyst inlines it.
+    Shifted copies are zipped, so that the array may be any expression: a lambda
+    that looked back into it would compute it again for each element.
     """
     shifted = [F.slice(array, F.lit(1 + j), F.greatest(F.size(array) - (size - 1), F.lit(0))).alias(f"_{j}") for j in range(size)]
     return F.arrays_zip(*shifted)
@@ -54,10 +54,16 @@ def shingle_texts(words: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(_runs(words, size), lambda r: F.concat_ws(" ", *(r[f"_{j}"] for j in range(size)))))
 
 
-def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
-    """Sorted distinct hashes of the shingles: each word is hashed once, a shingle combines the five."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.array_sort(F.array_distinct(F.transform(_runs(hashes, size), lambda r: F.xxhash64(*(r[f"_{j}"] for j in range(size))))))
+def with_hashes(frame: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Adds ``hashes``, the sorted shingle hashes of ``words``: each word is hashed once, a shingle combines ``size`` of them.
+
+    The arrays that a lambda looks into are columns used several times, which
+    Catalyst computes once and does not inline.
+    """
+    frame = frame.withColumn("__word", F.transform("words", lambda w: F.xxhash64(w)))
+    combined = F.transform("__word", lambda x, i: F.xxhash64(x, *(F.get(F.col("__word"), i + j) for j in range(1, size))))
+    frame = frame.withColumn("__all", F.slice(combined, F.lit(1), F.greatest(F.size("__word") - (size - 1), F.lit(0))))
+    return frame.withColumn("hashes", F.sort_array("__all")).drop("__word", "__all")
 
 
 def extra_bits(smallest_item: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -70,13 +76,10 @@ def extra_bits(smallest_item: int, threshold: float = THRESHOLD, miss: float = M
     return bits
 
 
-def bin_minima(hashes: Column, bits: Column) -> Column:
-    """The smallest hash of each of 2^bits bins (the high bits of a hash name its bin), from sorted hashes."""
+def bin_minima(hashes: str, bits: Column) -> Column:
+    """The smallest hash of each of 2^bits bins (the high bits of a hash name its bin), from a column of sorted hashes."""
     shift = F.lit(64) - bits
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
-    first = F.filter(F.arrays_zip(hashes.alias("x"), before.alias("y")),
-                     lambda r: r["y"].isNull() | (_bin(r["x"], shift) != _bin(r["y"], shift)))
-    return F.transform(first, lambda r: r["x"])
+    return F.filter(hashes, lambda x, i: (i == 0) | (_bin(x, shift) != _bin(F.get(F.col(hashes), i - 1), shift)))
 
 
 def _bin(x: Column, shift: Column) -> Column:
@@ -88,21 +91,23 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, item_id, n_shared, n_shingles for every item whose shingles a document holds to ``threshold``."""
     texts = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
     worded = texts.select("item_id", words_of(F.col("text")).alias("words"))
-    known = materialize(worded.select("item_id", shingle_hashes(F.col("words")).alias("hashes"), shingle_texts(F.col("words")).alias("shingles")))
-    known = known.filter(F.size("hashes") > 0)
-    size = known.agg(F.min(F.size("hashes")).alias("least"), F.sum(F.size("hashes")).alias("all")).first()
+    known = materialize(with_hashes(worded).select("item_id", "hashes", shingle_texts(F.col("words")).alias("shingles")))
+    known = known.filter(F.size("shingles") > 0)
+    size = known.agg(F.min(F.size("shingles")).alias("least"), F.sum(F.size("hashes")).alias("all")).first()
     bits = extra_bits(size["least"] or 1, threshold, miss)
     classes = F.sequence(F.lit(0), F.lit(39 - bits))
     sketches = (known.select("item_id", "hashes", F.explode(classes).alias("class"))
-                .select("item_id", "class", F.explode(bin_minima(F.col("hashes"), F.col("class") + bits + 1)).alias("value")))
+                .select("item_id", "class", F.explode_outer(bin_minima("hashes", F.col("class") + bits + 1)).alias("value")))
     if (size["all"] or 0) * (40 - bits) * 24 <= max_bytes:
         sketches = F.broadcast(sketches)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     worded = rows.select("doc_id", words_of(F.col("text")).alias("words"))
-    hashed = worded.select("doc_id", shingle_hashes(F.col("words")).alias("hashes"))
-    classed = hashed.withColumn("class", F.ceil(F.log2(F.size("hashes").cast("double"))).cast("int"))
-    values = classed.select("doc_id", "class", F.explode(bin_minima(F.col("hashes"), F.col("class") + bits + 1)).alias("value"))
+    # from the number of words and never null: a null check on a join key is pushed down and would compute the hashes again
+    size_class = F.coalesce(F.ceil(F.log2(F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1)).cast("double"))).cast("int"), F.lit(0))
+    classed = with_hashes(worded.withColumn("class", size_class)).select("doc_id", "class", "hashes")
+    # outer: a plain explode gets an inferred filter below it that would compute the arrays again
+    values = classed.select("doc_id", "class", F.explode_outer(bin_minima("hashes", F.col("class") + bits + 1)).alias("value"))
     pairs = materialize(values.join(sketches, ["class", "value"]).select("doc_id", "item_id").distinct())
 
     per_doc = pairs.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("item_id").alias("items"))
