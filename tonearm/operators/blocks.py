@@ -100,7 +100,7 @@ def stream_block(batches: Iterator[pa.RecordBatch], kernel: Callable) -> Iterato
     """Split the sorted rows of one block into (group, side) runs and feed the kernel."""
     held: list[pa.RecordBatch] = []
     worker = None
-    last_group = None
+    last_group, scored = None, False
     for batch in batches:
         names = batch.schema.names
         side = batch.column(names.index("side")).to_numpy(zero_copy_only=False)
@@ -122,11 +122,14 @@ def stream_block(batches: Iterator[pa.RecordBatch], kernel: Callable) -> Iterato
                 held = []
             if grp[start] != last_group:
                 worker.reset()
-                last_group = grp[start]
+                last_group, scored = grp[start], False
             data = Rows(part)
             if side[start] != ANCHOR:
+                if scored:
+                    raise ValueError("a row that scores depend on arrived after its group was scored")
                 worker.feed(int(side[start]), data)
                 continue
+            scored = True
             step = max(1, 1_000_000 // max(1, worker.size))
             for low in range(0, len(data.ids), step):
                 columns = worker.score(data.take(low, low + step))

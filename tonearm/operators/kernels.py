@@ -1,6 +1,6 @@
 """Array kernels of the block join: the pair formulas of functions/acoustic.py over whole blocks.
 
-tests/test_kernels.py holds each of them equal to the Column expressions.
+tests/test_recommend.py holds them equal to the Column expressions by brute force.
 """
 
 from __future__ import annotations
@@ -195,7 +195,7 @@ class CosineTop(Worker):
 
 
 class Recommend(Worker):
-    """Diversified top list of one block; mergeable (see recommend.merge_blocks for why it is exact)."""
+    """Diversified top list of one block; mergeable (recommend.py says why that is exact)."""
 
     names = ["request_id", "track_id", "identity", "artist_key", "hybrid_score", "rhythm", "timbre", "harmony"]
 

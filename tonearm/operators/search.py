@@ -194,15 +194,18 @@ def search_candidates(queries: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def search_local(tracks: DataFrame, fingerprints: DataFrame, queries: DataFrame, number: int = 1,
-                 size: int = PAGE) -> DataFrame:
+                 size: int = PAGE, genre: str | None = None) -> DataFrame:
     """Relevance search of a query batch with typo correction, one recording once, paged.
 
     queries(query_id, query) -> query_id, track_id, score, position, total, best_score, corrected.
+    ``genre``: only tracks with this text in a genre or sound field; spelling is corrected by all tracks.
+    Empty queries return nothing here: ``search_browse`` lists everything.
     """
     cut = queries.select("query_id", F.substring(F.trim("query"), 1, 200).alias("query"))
     fixed = correct_transpositions(cut, vocabulary(tracks)).select(
         "query_id", tx.normalize_search_folded("query").alias("q"), "corrected").filter(F.col("q") != "")
-    texts = tracks.select("track_id", "preview_url", tx.normalize_search_folded("title").alias("title_n"),
+    chosen = filter_category(tracks, fingerprints, genre, "any") if genre else tracks
+    texts = chosen.select("track_id", "preview_url", tx.normalize_search_folded("title").alias("title_n"),
                           tx.normalize_search_folded("artist").alias("artist_n"),
                           tx.recording_identity("title", "artist").alias("identity"))
     texts = texts.withColumn("text", F.trim(F.concat_ws(" ", "title_n", "artist_n")))
@@ -230,6 +233,23 @@ def search_local(tracks: DataFrame, fingerprints: DataFrame, queries: DataFrame,
         "query_id", "track_id", "score", "position", "total", "best_score", "corrected")
 
 
+def search_browse(tracks: DataFrame, fingerprints: DataFrame, genre: str | None = None, number: int = 1, size: int = PAGE) -> DataFrame:
+    """The search without a query: every recording scores 1, analysed ones first.
+
+    -> track_id, score, position, total of one page.
+    """
+    chosen = filter_category(tracks, fingerprints, genre, "any") if genre else tracks
+    indexed = fingerprints.select("track_id", F.lit(True).alias("indexed"))
+    rows = chosen.select("track_id", tx.recording_identity("title", "artist").alias("identity")).join(indexed, "track_id", "left")
+    rows = rows.withColumn("place", F.struct(F.col("indexed").isNull().alias("pending"), "track_id"))
+    once = rows.groupBy("identity").agg(F.min("place").alias("place"))
+    first = (within(number, 1 << 31, "number") - 1) * within(size, MAX_PAGE, "size")
+    page_rows = once.orderBy("place").offset(first).limit(size)
+    position = F.row_number().over(W.orderBy("place")) + first  # over the rows of one page
+    return (page_rows.select(F.col("place.track_id").alias("track_id"), F.lit(1.0).alias("score"), position.cast("bigint").alias("position"))
+            .crossJoin(F.broadcast(once.agg(F.count("*").alias("total")))))  # a single row
+
+
 def merge_search(local: DataFrame, external: DataFrame, size: int = PAGE) -> DataFrame:
     """Local and provider results of each query, one row per recording, ranked by relevance.
 

@@ -161,6 +161,20 @@ def q_search_local(c):
         "query_id", "track_id", r6("score"), F.col("position").cast("bigint").alias("position"), "total", r6("best_score"), "corrected")
 
 
+BROWSE = {"browse": f"""SELECT * FROM (SELECT track_id, track_id IN (SELECT track_id FROM fp) AS analysed, {o.identity('title', 'artist')} AS ident FROM tracks
+  WHERE contains(lower(coalesce(provider_genre, '')), 'rock') OR contains(lower(coalesce(provider_subgenre, '')), 'rock')
+   OR track_id IN (SELECT track_id FROM fp WHERE contains(lower(texture), 'rock') OR contains(lower(acoustic_signature), 'rock')))
+  QUALIFY row_number() OVER (PARTITION BY ident ORDER BY analysed DESC, track_id) = 1"""}
+
+
+@query("q_search_browse", views=BROWSE, sql="""
+SELECT track_id, CAST(1 AS DOUBLE) AS score, CAST(position AS BIGINT) AS position, total FROM (SELECT *, row_number() OVER (ORDER BY analysed DESC, track_id) AS position,
+ count(*) OVER () AS total FROM browse) WHERE position BETWEEN 21 AND 40""")
+def q_search_browse(c):
+    """Second page of all recordings of a genre."""
+    return se.search_browse(c.tracks, c.fingerprints, "Rock", number=2)
+
+
 _ms = f"""SELECT query_id, src, position, track_id, ident, q, {N('title')} AS t, {N('artist')} AS a, analysed, playable FROM ms_rows"""
 MERGE = {"ms_rows": f"""SELECT r.id AS query_id, s.src, i.rank AS position, CASE s.src WHEN 0 THEN i.track_id ELSE 'ext-' || substring(i.track_id, 7) END AS track_id,
    CASE s.src WHEN 0 THEN b.title ELSE upper(b.title) END AS title, b.artist, {N('a.title')} AS q, s.src = 0 AND b.track_id IN (SELECT track_id FROM fp) AS analysed,
