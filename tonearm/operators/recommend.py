@@ -186,6 +186,7 @@ def diversify(scored: DataFrame, key: str, k: int) -> DataFrame:
     scored needs track_id, identity, artist_key, hybrid_score.
     """
     best = [F.desc("hybrid_score"), F.asc("track_id")]
+    scored = scored.repartition(key)  # one shuffle serves the three windows; a request has a bounded list per block
     first = scored.withColumn("n", F.row_number().over(W.partitionBy(key, "identity").orderBy(*best))).filter("n = 1")
     capped = first.withColumn("n", F.row_number().over(W.partitionBy(key, "artist_key").orderBy(*best)))
     ranked = capped.withColumn("backfill", F.col("n") > 2)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tonearm.operators import library as lib
 from tonearm.plans.registry import query, r6
+from tonearm.session import checkpoint_dir
 from tonearm.sources import catalogue as src
 
 TRACK_COLUMNS = "track_id, title, artist, album, provider_genre, provider_subgenre, seed_genre, CAST(year AS DOUBLE) AS year, duration_ms, preview_url"
@@ -43,11 +46,11 @@ def store_payloads(c):
 
 @query("q_normalize_provider", sql="""
 SELECT track_id, title, artist, album, CAST(year AS DOUBLE) AS year, duration_ms, coalesce(preview_url, '') AS preview_url,
-  external_url, provider_genre FROM tracks WHERE CAST(substring(track_id, 7) AS BIGINT) % 17 <> 0""")
+  external_url, provider_genre, 'Apple Music' AS source FROM tracks WHERE CAST(substring(track_id, 7) AS BIGINT) % 17 <> 0""")
 def q_normalize_provider(c):
     out = src.normalize_provider(store_payloads(c).select("payload"))
     return out.select("track_id", "title", "artist", "album", F.col("year").cast("double").alias("year"), "duration_ms",
-                      "preview_url", "external_url", "provider_genre")
+                      "preview_url", "external_url", "provider_genre", "source")
 
 
 def recording_payloads(c):
@@ -56,7 +59,7 @@ def recording_payloads(c):
     credit = F.transform(names, lambda name, i: F.struct(
         name.alias("name"), F.when(i + 1 < F.size(names), F.lit(" feat. ")).otherwise(F.lit("")).alias("joinphrase")))
     body = F.struct(
-        F.col("n").cast("string").alias("id"), F.col("title").alias("title"), credit.alias("artist-credit"),
+        F.col("n").cast("string").alias("id"), F.col("title").alias("title"), F.col("duration_ms").alias("length"), credit.alias("artist-credit"),
         F.array(F.struct(F.col("album").alias("title"), F.concat(F.col("year").cast("string"), F.lit("-02-03")).alias("date"))).alias("releases"),
         F.array(F.struct(F.col("provider_genre").alias("name"), (F.col("n") % 3).alias("count")),
                 F.struct(F.col("provider_subgenre").alias("name"), (F.col("n") % 2).alias("count"))).alias("tags"))
@@ -66,10 +69,11 @@ def recording_payloads(c):
 @query("q_normalize_recordings", sql="""
 SELECT 'mb-' || substring(track_id, 7) AS track_id, title, artist, album, CAST(year AS DOUBLE) AS year,
   CASE WHEN CAST(substring(track_id, 7) AS BIGINT) % 2 > CAST(substring(track_id, 7) AS BIGINT) % 3 THEN provider_subgenre
-    ELSE provider_genre END AS provider_genre FROM tracks""")
+    ELSE provider_genre END AS provider_genre, duration_ms, 'https://musicbrainz.org/recording/' || substring(track_id, 7) AS external_url,
+  'MusicBrainz' AS source FROM tracks""")
 def q_normalize_recordings(c):
     return src.normalize_recordings(recording_payloads(c)).select(
-        "track_id", "title", "artist", "album", F.col("year").cast("double").alias("year"), "provider_genre")
+        "track_id", "title", "artist", "album", F.col("year").cast("double").alias("year"), "provider_genre", "duration_ms", "external_url", "source")
 
 
 @query("q_parse_fingerprints", sql="""
@@ -102,7 +106,8 @@ SELECT n AS indexed, substring(sha256(n || '-' || w), 1, 16) AS version, (SELECT
    SELECT sha256(track_id || '|' || acoustic_signature || '|' ||
     array_to_string(list_transform(vector, lambda v: CAST(round(v * 1e6) AS BIGINT)), ',')) AS h FROM fp), range(8) r(i) GROUP BY i))""")
 def q_export_manifest(c):
-    return src.export_manifest(c.tracks, c.fingerprints).select("indexed", "version", "total")
+    """The snapshot is written; its manifest is made from the rows."""
+    return src.export_catalogue(c.tracks, c.fingerprints, f"{checkpoint_dir(c.spark)}/export-{uuid.uuid4().hex}").select("indexed", "version", "total")
 
 
 @query("q_index_manifest", sql="""
@@ -116,5 +121,5 @@ def q_index_manifest(c):
 @query("q_write_roundtrip", sql="""
 SELECT provider_genre, count(*) AS n, count(DISTINCT title) AS titles FROM tracks GROUP BY provider_genre""")
 def q_write_roundtrip(c):
-    stored = src.roundtrip(c.tracks)
+    stored = src.write_table(c.tracks, f"{checkpoint_dir(c.spark)}/tracks-{uuid.uuid4().hex}", "seed_genre")
     return stored.groupBy("provider_genre").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))

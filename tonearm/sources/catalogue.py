@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tonearm import schemas
-from tonearm.session import materialize
 
 REQUIRED_TRAINING = ["track_id", "title", "artist", "genre", "year", "primary_theme_pool", "vader_sentiment", "arousal"]
 
@@ -62,7 +61,7 @@ PROVIDER = T.StructType([T.StructField(n, T.StringType()) for n in (
 
 
 def normalize_provider(payloads: DataFrame, column: str = "payload", seed: str | None = None, prefix: str = "apple-",
-                       require_preview: bool = False) -> DataFrame:
+                       require_preview: bool = False, source: str = "Apple Music") -> DataFrame:
     """Store payload rows -> track rows; rows without id, title, artist or url are dropped."""
     p = F.from_json(F.col(column), PROVIDER)
     rest = [c for c in payloads.columns if c != column]
@@ -77,11 +76,12 @@ def normalize_provider(payloads: DataFrame, column: str = "payload", seed: str |
         year_of(F.col("p.releaseDate")).alias("year"), F.col("p.trackTimeMillis").try_cast("int").alias("duration_ms"),
         F.coalesce(F.col("p.artworkUrl100"), F.lit("")).alias("artwork_url"),
         F.coalesce(F.col("p.previewUrl"), F.lit("")).alias("preview_url"), F.col("p.trackViewUrl").alias("external_url"),
-        genre.alias("provider_genre"), genre.alias("provider_subgenre"), F.lit(seed).cast("string").alias("seed_genre"))
+        genre.alias("provider_genre"), genre.alias("provider_subgenre"), F.lit(seed).cast("string").alias("seed_genre"),
+        F.lit(source).alias("source"))
 
 
 RECORDING = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("title", T.StringType()),
+    T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("length", T.LongType()),
     T.StructField("artist-credit", T.ArrayType(T.StructType([
         T.StructField("name", T.StringType()), T.StructField("joinphrase", T.StringType()),
         T.StructField("artist", T.StructType([T.StructField("name", T.StringType())]))]))),
@@ -93,7 +93,8 @@ RECORDING = T.StructType([
 ])
 
 
-def normalize_recordings(payloads: DataFrame, column: str = "payload", prefix: str = "mb-") -> DataFrame:
+def normalize_recordings(payloads: DataFrame, column: str = "payload", prefix: str = "mb-", source: str = "MusicBrainz",
+                         page: str = "https://musicbrainz.org/recording/") -> DataFrame:
     """Open-database recordings -> track rows (joined credit, first release, most counted tag)."""
     rest = [c for c in payloads.columns if c != column]
     rows = payloads.select(*rest, F.from_json(F.col(column), RECORDING).alias("p"))
@@ -110,7 +111,8 @@ def normalize_recordings(payloads: DataFrame, column: str = "payload", prefix: s
         F.trim(F.coalesce("p.title", empty)).alias("title"), F.trim(F.coalesce(credit, empty)).alias("artist"),
         F.coalesce(release["title"], empty).alias("album"),
         year_of(F.coalesce(release["date"], F.col("p.first-release-date"))).alias("year"),
-        tag.alias("provider_genre"), tag.alias("provider_subgenre"))
+        F.col("p.length").cast("int").alias("duration_ms"), F.concat(F.lit(page), F.col("p.id")).alias("external_url"),
+        F.lit(source).alias("source"), tag.alias("provider_genre"), tag.alias("provider_subgenre"))
     return rows.filter((F.col("title") != "") & (F.col("artist") != "") & F.col("track_id").isNotNull())
 
 
@@ -181,7 +183,3 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> Da
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def roundtrip(df: DataFrame) -> DataFrame:
-    return materialize(df)
