@@ -18,6 +18,15 @@ HEADLINE = ["q_recommend_similar", "q_transition_chain", "q_recommend_personaliz
             "q_history", "q_lyric_features", "q_content_knn", "q_normalize_frames"]
 
 
+def peak_mb(pid: int) -> int | None:
+    """Largest resident size of a process so far."""
+    try:
+        with open(f"/proc/{pid}/status") as lines:
+            return next(int(line.split()[1]) // 1024 for line in lines if line.startswith("VmHWM"))
+    except OSError:
+        return None
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -45,6 +54,9 @@ def main() -> None:
     }
     if "q_recommend_similar" in times:
         out["similar_pairs_per_sec"] = round(pairs / times["q_recommend_similar"])
+    if "q_transition_chain" in times:
+        out["chain_pairs_per_sec"] = round(5 * pairs / times["q_transition_chain"])  # five steps
+    out["jvm_peak_mb"] = peak_mb(spark._jvm.java.lang.ProcessHandle.current().pid())
     print(json.dumps(out))
 
 
