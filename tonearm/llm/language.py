@@ -34,7 +34,7 @@ from tonearm.llm.common import table
 from tonearm.session import materialize
 
 ORDER = 4
-MAX_CELLS = 32_000_000
+MAX_CELLS = 8_000_000
 FLUSH_WORDS = 200_000
 CACHE_WORDS = 200_000
 START, END = "\x02", "\x03"
@@ -154,11 +154,10 @@ class Model:
         rows = np.fromiter(map(unique.__getitem__, flat), np.int64, len(flat))
         return np.add.reduceat(scores[rows], np.cumsum([0, *map(len, pieces[:-1])]), axis=0)
 
-    def entropies(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(nats per character in every language, number of characters) of each text."""
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        out, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        for at in range(0, len(texts), 512):
+    def entropies(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(nats per character in every language, number of characters) of texts, given as their words."""
+        out, sizes = np.zeros((len(words), len(self.langs))), np.zeros(len(words), np.int64)
+        for at in range(0, len(words), 512):
             part = words[at:at + 512]
             fresh = [w for w in dict.fromkeys(w for ws in part for w in ws) if w not in self._index]
             if self._used + len(fresh) > CACHE_WORDS or self._rows is None:
@@ -209,7 +208,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            guess, entropy, margin = guesses(shared.value, batch.column(3).to_pylist())
+            guess, entropy, margin = guesses(shared.value, list(map(text_words, batch.column(3).to_pylist())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(guess, pa.string()), pa.array(entropy), pa.array(margin)],
                                              names=["doc_id", "lang", "fold", "guess", "entropy", "margin"])
 
@@ -218,8 +217,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         run, f"doc_id {kind}, lang string, fold long, guess string, entropy double, margin double")
 
 
-def guesses(model: Model, texts: list):
-    """(language, entropy, margin to the second language) of each text."""
+def text_words(text: str | None) -> list[str]:
+    return LETTERS.findall(text.lower()) if text else []
+
+
+def guesses(model: Model, texts: list[list[str]]):
+    """(language, entropy, margin to the second language) of texts, given as their words."""
     if not model.langs:
         return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     entropy, sizes = model.entropies(texts)

@@ -3,8 +3,8 @@
 A word's vector is the sum of the hashed embeddings of its first four and its
 first five letters, so that inflected and unseen forms share what was learned.  Filters of several widths run over the words, each
 filter's maximum over the whole text goes through a logistic layer.  In scoring,
-every distinct word's share in each filter is computed once, so a text costs
-gathers and shifted sums.
+the share of every distinct beginning of a word in each filter is computed once,
+so a text costs gathers and shifted sums.
 
 The classifier is fitted on a bounded sample of labelled rows (``per_class`` of
 each label, chosen by a hash of the id); everything else covers all rows.  Rows
@@ -20,7 +20,6 @@ both kinds every score is 0.
 
 from __future__ import annotations
 
-import re
 from itertools import accumulate
 
 import numpy as np
@@ -40,7 +39,6 @@ CHUNK_WORDS = 100_000
 SCORE_BINS = 400
 #: Labels that the common threshold weighs against those of a language.
 SHRINK = 200
-WORDS = re.compile(r"[^\W_]+")
 
 
 def word_buckets(word: str) -> tuple[int, int]:
@@ -137,17 +135,18 @@ class TextFilter:
         return self
 
     def _words(self, words: list[str]) -> np.ndarray:
-        """Rows of the share table; new words are added, a full table is emptied."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self._index]
-        if self._shares is None or len(self._index) + len(fresh) > len(self._shares):
-            fresh = list(dict.fromkeys(words))
-            self._index = {}
-            self._shares = np.zeros((max(CACHE_WORDS, len(fresh)), sum(WIDTHS) * FILTERS), np.float32)
+        """Rows of the share table, one per beginning of a word; new ones are added, a full table is emptied."""
+        words = [w[:5] for w in words]
+        distinct = set(words)
+        fresh = [*distinct.difference(self._index)]
+        if self._shares is None or len(self._index) + len(fresh) > len(self._shares[1, 0]):
+            fresh, self._index = [*distinct], {}
+            self._shares = {(w, j): np.zeros((max(CACHE_WORDS, len(fresh)), FILTERS), np.float32) for w in WIDTHS for j in range(w)}
         if fresh:
             x = self.embedding[np.array([word_buckets(w) for w in fresh])].sum(1)
             at = len(self._index)
-            self._shares[at:at + len(fresh)] = np.concatenate(
-                [x @ self.filters[w][j * SIZE:(j + 1) * SIZE] for w in WIDTHS for j in range(w)], axis=1)
+            for (w, j), share in self._shares.items():
+                share[at:at + len(fresh)] = x @ self.filters[w][j * SIZE:(j + 1) * SIZE] + (self.bias[w] if j == 0 else 0)
             self._index.update(zip(fresh, range(at, at + len(fresh))))
         return np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
 
@@ -156,11 +155,12 @@ class TextFilter:
         ends = list(accumulate(map(len, texts)))
         rows = self._words([w for ws in texts for w in ws])
         out = np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
-        column = 0
         for k, w in enumerate(WIDTHS):
             if len(rows) >= w:
                 n = len(rows) - w + 1
-                values = sum(self._shares[rows[j:j + n], column + j * FILTERS:column + (j + 1) * FILTERS] for j in range(w)) + self.bias[w]
+                values = self._shares[w, 0].take(rows[:n], axis=0)
+                for j in range(1, w):
+                    values += self._shares[w, j].take(rows[j:j + n], axis=0)
                 start = np.array([0, *ends[:-1]])
                 has = np.flatnonzero(np.array(ends) - start >= w)
                 if len(has):
@@ -168,11 +168,10 @@ class TextFilter:
                     bounds = np.stack([start[has], np.array(ends)[has] - w + 1], 1).ravel()
                     best = np.maximum.reduceat(np.vstack([values, np.full((1, FILTERS), -np.inf, np.float32)]), bounds)[::2]
                     out[has, k * FILTERS:(k + 1) * FILTERS] = best
-            column += w * FILTERS
         return out
 
-    def scores(self, texts: list) -> np.ndarray:
-        """Probability of each whole text.  Long texts are pooled in overlapping pieces."""
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
+        """Probability of each whole text, given as its words.  Long texts are pooled in overlapping pieces."""
         pieces, owner, size, out = [], [], 0, np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
 
         def flush():
@@ -181,8 +180,7 @@ class TextFilter:
             pieces.clear()
             owner.clear()
 
-        for i, text in enumerate(texts):
-            words = WORDS.findall(text.lower()) if text else []
+        for i, words in enumerate(texts):
             for at in range(0, len(words), CHUNK_WORDS):
                 piece = words[at:at + CHUNK_WORDS + max(WIDTHS) - 1]
                 pieces.append(piece)
@@ -197,8 +195,7 @@ class TextFilter:
 
 
 def text_buckets(text: str | None) -> np.ndarray:
-    words = WORDS.findall(text.lower()) if text else []
-    return np.array([word_buckets(w) for w in words], np.int64).reshape(-1, 2)
+    return np.array([word_buckets(w) for w in language.text_words(text)], np.int64).reshape(-1, 2)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
@@ -252,7 +249,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         for batch in batches:
-            whole = batch.column(1).to_pylist()
+            whole = list(map(language.text_words, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classifier.value.scores(whole)),
                                               pa.array(language.guesses(speaker.value, whole)[0], pa.string())], names=["doc_id", "raw", "guess"])
 
