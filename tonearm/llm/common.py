@@ -110,21 +110,3 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, fn) -> Iter
         if batch.num_rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c
                                               for c, f in zip(fn(batch), schema)], schema=schema)
-
-
-def ranked(frame: DataFrame, *order: Column) -> DataFrame:
-    """``frame`` with ``position``, its 0-based place in the whole order.
-
-    Ranges are numbered on their own and moved by the sizes of the ranges
-    before them, so no task sees more than one range.
-    """
-    from pyspark.sql import Window as W
-    from tonearm.session import materialize
-
-    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = materialize(frame.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
-    sizes = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
-    return (cut.withColumn("position", within).join(before, "__range")
-            .withColumn("position", F.col("position") + F.col("__before")).drop("__range", "__before"))

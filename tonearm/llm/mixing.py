@@ -22,7 +22,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tonearm.llm.common import n_words, ranked, table
+from tonearm.llm.common import n_words, table
+from tonearm.operators.catalogue import ranked
 from tonearm.session import materialize
 
 WEIGHTS = (3, 1, 2)
