@@ -168,6 +168,25 @@ def test_language(spark, odd, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_language_order_at_any_size(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(40):  # 40 languages with letters of their own: over 8 M numbers in dense arrays
+        letters = [chr(0x4E00 + 300 * k + i) for i in range(300)]
+        rows += [(f"l{k:02}", " ".join("".join(rng.choice(letters) for _ in range(8)) for _ in range(100))) for _ in range(4)]
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.order == language.ORDER
+    counts = {}
+    for lang, text in rows:
+        counts.setdefault(lang, Counter()).update(g for w in language.text_words(text) for g in language.grams(w, 4))
+    assert 2 * len(set().union(*counts.values())) * len(counts) > 8_000_000
+    want = language.Model.fit(counts, 4)
+    names = [w for _, text in rows[::40] for w in language.text_words(text)[:5]] + ["abc", rows[0][1][:3]]
+    import numpy as np
+    assert model.langs == want.langs and np.allclose(model.word_scores(names), want.word_scores(names), atol=1e-5)
+    assert language.guesses(model, [language.text_words(rows[-1][1])])[0] == ["l39"]
+
+
 def test_kneser_ney_sums_to_one():
     model = language.Model.fit({"a": Counter(g for w in ("abba", "abc", "cab") for g in language.grams(w, 3)), "b": Counter(language.grams("bcb", 3))}, 3)
     import numpy as np

@@ -3,9 +3,12 @@
 One model per language over the characters of words (a word is read from its
 start mark to its end mark, so its score does not depend on its neighbours).
 Counts of the highest order come from all training texts, summed by Spark; lower
-orders use Kneser-Ney continuation counts.  The models are kept as sorted arrays
-of 64-bit hashes with one column of log probabilities per language, probed by
-binary search, once per distinct word.
+orders use Kneser-Ney continuation counts, summed by Spark as well.  The counts
+of grams and of their contexts are one table sorted by 64-bit hash and language.
+It is written to the shared folder and sent with ``addFile``; tasks memory-map
+it, probe it by binary search and interpolate the orders, once per distinct gram.
+The order is the same at every size: what grows with the texts is on disk, and
+only discounts (per order and language) are gathered.
 
 The language of a text is the one with the lowest cross-entropy per character.
 Its score is the share of right answers at that margin to the second language,
@@ -15,28 +18,30 @@ almost all calibration texts of its language is rejected (``accepted`` false).
 Folds are crc32 of the id as text, modulo 5: 0 is held out, 1 calibrates, the
 others train.  Null languages are not learned from.  A null text or one without
 letters gets ``und`` and score 0, and so does every text if nothing was learned.
-Repeated rows count each.  Models hold at most ``max_cells`` numbers: where an
-order needs more, a lower one is used.
+Repeated rows count each.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tonearm.llm.common import table
-from tonearm.session import materialize
+from tonearm.session import checkpoint_dir, materialize
 
 ORDER = 4
-MAX_CELLS = 8_000_000
 FLUSH_WORDS = 200_000
 CACHE_WORDS = 200_000
+CACHE_GRAMS = 200_000
 START, END = "\x02", "\x03"
 #: Runs of letters; a longer run is read in pieces.
 LETTERS = re.compile(r"[^\W\d_]{1,40}")
@@ -81,76 +86,97 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _hash(grams_: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams_), np.uint64, len(grams_))
+    """Spark's ``xxhash64`` of each."""
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams_), np.uint64, len(grams_)).view(np.int64)
+
+
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.75
 
 
 class Model:
-    """Per order: sorted gram hashes with log p per language, sorted context hashes with log back-off weights."""
+    """Counts of grams of all orders, and per order and language the discount.
+
+    ``tables`` are the keys (sorted hashes, one row per gram and language) and the
+    values (language, count, total and number of the grams that follow it as
+    context), as arrays or as names of files sent with ``addFile``.
+    """
 
-    def __init__(self, langs: list[str], order: int):
-        self.langs, self.order = langs, order
-        self.keys, self.logp, self.contexts, self.backoff = {}, {}, {}, {}
-        self.unseen = np.zeros(len(langs), np.float32)
+    def __init__(self, langs: list[str], order: int, alphabet: int, discounts: dict[int, np.ndarray], tables: tuple):
+        self.langs, self.order, self.alphabet, self.discounts, self.tables = langs, order, alphabet, discounts, tables
+        self._open = None
         self._index, self._rows, self._used, self._sizes = {}, None, 0, None
+        self._grams, self._logs = {}, None
 
     @classmethod
     def fit(cls, counts: dict[str, dict[str, int]], order: int) -> "Model":
+        """The model of counts in memory; ``fit`` below is the same over tables."""
         langs = sorted(counts)
-        model = cls(langs, order)
-        levels = {order: [counts[lang] for lang in langs]}
-        for n in range(order - 1, 0, -1):
-            levels[n] = [Counter(g[1:] for g in c) for c in levels[n + 1]]  # distinct left neighbours
-        alphabet = len(set().union(*levels[1])) + 1 if langs else 1
-        below = None
-        for n in range(1, order + 1):
-            union = sorted(set().union(*levels[n])) if langs else []
-            contexts = sorted({g[:-1] for g in union})
-            p = np.zeros((len(union), len(langs)))
-            weights = np.ones((len(contexts), len(langs)))
-            place = {g: i for i, g in enumerate(contexts)}
-            of = np.array([place[g[:-1]] for g in union], np.int64)
-            lower = np.full(p.shape, 1 / alphabet) if n == 1 else below[1][np.array([below[0][g[1:]] for g in union], np.int64)]
-            for i, c in enumerate(levels[n]):
-                values = np.array([c.get(g, 0) for g in union], float)
-                total = np.bincount(of, values, len(contexts))
-                kinds = np.bincount(of, values > 0, len(contexts))
-                once, twice = (values == 1).sum(), (values == 2).sum()
-                d = once / (once + 2 * twice) if once and twice else 0.75
-                seen = total > 0
-                weights[seen, i] = d * kinds[seen] / total[seen]
-                p[:, i] = np.maximum(values - d, 0) / np.maximum(total[of], 1) + weights[of, i] * lower[:, i]
-            below = ({g: i for i, g in enumerate(union)}, p)
-            for store, names, values in ((("keys", "logp"), union, p), (("contexts", "backoff"), contexts, weights)):
-                hashes = _hash(names)
-                by = np.argsort(hashes)
-                getattr(model, store[0])[n] = hashes[by]
-                getattr(model, store[1])[n] = np.log(np.maximum(values, 1e-30)).astype(np.float32)[by]
-            if n == 1 and langs:
-                model.unseen = (model.backoff[1][0] - math.log(alphabet)).astype(np.float32)
-        return model
+        rows, discounts = defaultdict(lambda: [0, 0, 0]), {n: np.full(len(langs), 0.75) for n in range(1, order + 1)}
+        letters = set()
+        for i, lang in enumerate(langs):
+            level = counts[lang]
+            for n in range(order, 0, -1):
+                discounts[n][i] = _discount(sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values()))
+                for gram, c in level.items():
+                    rows[gram, i][0] += c
+                    rows[gram[:-1], i][1] += c
+                    rows[gram[:-1], i][2] += 1
+                if n == 1:
+                    letters |= set(level)
+                level = Counter(g[1:] for g in level)  # distinct left neighbours
+        hashes, values = _hash([g for g, _ in rows]), np.array([[i, *v] for (_, i), v in rows.items()], np.int64).reshape(-1, 4)
+        by = np.lexsort((values[:, 0], hashes))
+        return cls(langs, order, len(letters) + 1, discounts, (hashes[by], values[by]))
+
+    def _counts(self, names: list[str]) -> np.ndarray:
+        """(count, total, kinds) of each name in every language."""
+        if self._open is None:
+            keys, values = (np.memmap(SparkFiles.get(t), np.int64, "r") if isinstance(t, str) else t for t in self.tables)
+            self._open = keys, values.reshape(-1, 4)
+        keys, values = self._open
+        wanted, row = _hash(names), np.arange(len(names))
+        at, out = np.searchsorted(keys, wanted), np.zeros((3, len(names), len(self.langs)))
+        while len(row):  # once per language that has the name
+            row = row[at[row] < len(keys)]
+            row = row[keys[at[row]] == wanted[row]]
+            found = values[at[row]]
+            out[:, row, found[:, 0]] = found[:, 1:].T
+            at[row] += 1
+        return out
+
+    def _chances(self, names: list[str], n: int) -> np.ndarray:
+        """Probability of each gram of order n in every language."""
+        if n == 0:
+            return np.full((len(names), len(self.langs)), 1 / self.alphabet)
+        tails, heads = [g[1:] for g in names], [g[:-1] for g in names]
+        tail, head = ({g: i for i, g in enumerate(dict.fromkeys(part))} for part in (tails, heads))
+        lower = self._chances(list(tail), n - 1)[[tail[g] for g in tails]]
+        _, total, kinds = self._counts(list(head))[:, [head[g] for g in heads]]
+        d, seen = self.discounts[n], np.maximum(total, 1)
+        return np.maximum(self._counts(names)[0] - d, 0) / seen + np.where(total > 0, d * kinds / seen, 1) * lower
 
     def _score(self, names: list[str], n: int) -> np.ndarray:
         """Log probability of each gram of order n in every language."""
-        if n == 0:
-            return np.tile(self.unseen, (len(names), 1))
-        at, hit = _find(self.keys[n], _hash(names))
-        out = np.zeros((len(names), len(self.langs)), np.float32)
-        out[hit] = self.logp[n][at[hit]]
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            rest = [names[i] for i in missed]
-            lower = self._score([g[1:] for g in rest], n - 1)
-            if n > 1:
-                at, known = _find(self.contexts[n], _hash([g[:-1] for g in rest]))
-                lower[known] += self.backoff[n][at[known]]
-            out[missed] = lower
-        return out
+        return np.log(np.maximum(self._chances(names, n), 1e-30)).astype(np.float32)
+
+    def _gram_rows(self, names: list[str]) -> np.ndarray:
+        """Log probabilities of grams of the model's order; those seen last are kept."""
+        fresh = [g for g in names if g not in self._grams]
+        if self._logs is None or len(self._grams) + len(fresh) > len(self._logs):
+            fresh, self._grams = names, {}
+            self._logs = np.zeros((max(CACHE_GRAMS, len(fresh)), len(self.langs)), np.float32)
+        if fresh:
+            at = len(self._grams)
+            self._logs[at:at + len(fresh)] = self._score(fresh, self.order)
+            self._grams.update(zip(fresh, range(at, at + len(fresh))))
+        return self._logs[np.fromiter(map(self._grams.__getitem__, names), np.int64, len(names))]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         pieces = [grams(w, self.order) for w in words]
         flat = [g for p in pieces for g in p]
         unique = {g: i for i, g in enumerate(dict.fromkeys(flat))}
-        scores = self._score(list(unique), self.order)
+        scores = self._gram_rows(list(unique))
         rows = np.fromiter(map(unique.__getitem__, flat), np.int64, len(flat))
         return np.add.reduceat(scores[rows], np.cumsum([0, *map(len, pieces[:-1])]), axis=0)
 
@@ -179,27 +205,59 @@ class Model:
         return out, sizes
 
     def __getstate__(self):
-        return self.__dict__ | {"_index": {}, "_rows": None, "_used": 0, "_sizes": None}
+        return self.__dict__ | {"_open": None, "_index": {}, "_rows": None, "_used": 0, "_sizes": None, "_grams": {}, "_logs": None}
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def _levels(docs: DataFrame, order: int) -> dict[int, DataFrame]:
+    """lang, gram, n by order: counts at the highest, numbers of distinct left neighbours below."""
+    levels = {order: materialize(gram_counts(docs, order))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = materialize(levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    return levels
 
 
-def fit(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CELLS) -> Model:
+def _write_shared(records: DataFrame) -> tuple[str, str]:
+    """Names of the files of keys and values, sent to every executor: the packed records in order, some at a time."""
+    def pack(batches):
+        for batch in batches:
+            keys, *values = (c.to_numpy(zero_copy_only=False).astype("<i8") for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([np.stack(values, 1).tobytes()], pa.binary())],
+                                             names=["keys", "values"])
+
+    spark = records.sparkSession
+    names = tuple(f"grams-{kind}-{uuid.uuid4().hex}" for kind in ("keys", "values"))
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/{name}") for name in names]
+    streams = [path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path) for path in paths]
+    for row in records.mapInArrow(pack, "keys binary, values binary").toLocalIterator():
+        for stream, data in zip(streams, row):
+            stream.write(bytearray(data))
+    for stream, path in zip(streams, paths):
+        stream.close()
+        spark.sparkContext.addFile(path.toString())
+    return names
+
+
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
     """Models of every language in rows (lang, text)."""
-    counts = materialize(gram_counts(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), order))
-    while order > 1:
-        size = counts.agg(F.countDistinct("gram"), F.countDistinct("lang")).first()
-        if 2 * size[0] * size[1] <= max_cells:
-            break
-        order -= 1
-        counts = materialize(counts.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.sum("n").alias("n")))
-    rows = counts.toPandas()  # at most max_cells / 2 numbers
-    return Model.fit({lang: dict(zip(part["gram"], part["n"])) for lang, part in rows.groupby("lang")}, order)
+    levels = _levels(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), order)
+    ones = reduce(DataFrame.unionByName, (level.withColumn("order", F.lit(n)) for n, level in levels.items())).groupBy("order", "lang").agg(
+        F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()  # orders x languages
+    langs = sorted({r["lang"] for r in ones})
+    if not langs:
+        return Model([], order, 1, {}, ())
+    discounts = {n: np.full(len(langs), 0.75) for n in levels}
+    for r in ones:
+        discounts[r["order"]][langs.index(r["lang"])] = _discount(r["once"], r["twice"])
+    alphabet = levels[1].select("gram").distinct().count() + 1
+    none, parts = F.lit(0).cast("long"), []
+    for n, level in levels.items():
+        parts.append(level.select("lang", "gram", F.col("n").alias("count"), none.alias("total"), none.alias("kinds")))
+        parts.append(level.groupBy("lang", F.substring("gram", 1, n - 1).alias("gram")).agg(
+            none.alias("count"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")))
+    places = docs.sparkSession.createDataFrame([*zip(langs, range(len(langs)))], "lang string, place long")
+    records = (reduce(DataFrame.unionByName, parts).join(places, "lang").groupBy(F.xxhash64("gram").alias("hash"), "place")
+               .agg(F.sum("count").alias("count"), F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).orderBy("hash", "place"))
+    return Model(langs, order, alphabet, discounts, _write_shared(records))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
