@@ -220,6 +220,26 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score_toxicity(odd, marks.limit(0)).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_whole_words():
+    """Clean and toxic words that share their first five letters."""
+    import numpy as np
+    rng = random.Random(8)
+    words = ["".join(rng.choice("klmnoprst") for _ in range(rng.randint(3, 7))) for _ in range(300)]
+
+    def text(extra):
+        out = [rng.choice(words) for _ in range(30)]
+        for _ in range(3):
+            out[rng.randrange(30)] = rng.choice(extra)
+        return " ".join(out)
+
+    clean, toxic = ["grundstein", "grundgesetz", "hausboot"], ["grundvilling", "hausbfiend"]
+    labels = np.array([i % 2 for i in range(1200)], float)
+    texts = [text(toxic if y else clean) for y in labels]
+    model = toxicity.TextFilter().train(texts[:900], labels[:900])
+    got = model.scores([language.text_words(t) for t in texts[900:]])
+    assert ((got >= 0.5) == (labels[900:] == 1)).mean() >= 0.95
+
+
 def test_token_counts(spark, odd):
     trees = tokens.token_trees(odd)
     edits = spark.createDataFrame([(0, 3, 10, "new  words"), (0, 5, 6, "inside"), (0, 0, 0, " "), (108, 1000, 1001, "'s\n\n"), (100, 0, 5, "x"),

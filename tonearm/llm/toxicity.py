@@ -1,10 +1,11 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-A word's vector is the sum of the hashed embeddings of its first four and its
-first five letters, so that inflected and unseen forms share what was learned.  Filters of several widths run over the words, each
-filter's maximum over the whole text goes through a logistic layer.  In scoring,
-the share of every distinct beginning of a word in each filter is computed once,
-so a text costs gathers and shifted sums.
+A word's vector is the sum of the hashed embeddings of the whole word and of its
+first four and first five letters, so that inflected and unseen forms share what
+was learned and words that only begin alike stay apart.  Filters of several
+widths run over the words, each filter's maximum over the whole text goes through
+a logistic layer.  In scoring, the share of every distinct word in each filter is
+computed once, so a text costs gathers and shifted sums.
 
 The classifier is fitted on a bounded sample of labelled rows (``per_class`` of
 each label, chosen by a hash of the id); everything else covers all rows.  Rows
@@ -41,9 +42,9 @@ SCORE_BINS = 400
 SHRINK = 200
 
 
-def word_buckets(word: str) -> tuple[int, int]:
-    """Embedding rows of the two beginnings of a word."""
-    return xxhash.xxh3_64_intdigest("4" + word[:4]) % BUCKETS, xxhash.xxh3_64_intdigest("5" + word[:5]) % BUCKETS
+def word_buckets(word: str) -> tuple[int, int, int]:
+    """Embedding rows of a word and of its two beginnings."""
+    return tuple(xxhash.xxh3_64_intdigest(part) % BUCKETS for part in ("w" + word, "4" + word[:4], "5" + word[:5]))
 
 
 class TextFilter:
@@ -65,7 +66,7 @@ class TextFilter:
         return [*self.filters.values(), *self.bias.values(), self.out, self.offset]
 
     def backward(self, ids: np.ndarray, label: float, weight: float):
-        """Loss gradient of one text; ``ids``: (words, 2) embedding rows.  Only the windows that hold a maximum matter."""
+        """Loss gradient of one text; ``ids``: (words, 3) embedding rows.  Only the windows that hold a maximum matter."""
         x = self.embedding[ids].sum(1)
         pooled, best = [], {}
         for w in WIDTHS:
@@ -135,8 +136,7 @@ class TextFilter:
         return self
 
     def _words(self, words: list[str]) -> np.ndarray:
-        """Rows of the share table, one per beginning of a word; new ones are added, a full table is emptied."""
-        words = [w[:5] for w in words]
+        """Rows of the share table, one per word; new ones are added, a full table is emptied."""
         distinct = set(words)
         fresh = [*distinct.difference(self._index)]
         if self._shares is None or len(self._index) + len(fresh) > len(self._shares[1, 0]):
@@ -195,7 +195,7 @@ class TextFilter:
 
 
 def text_buckets(text: str | None) -> np.ndarray:
-    return np.array([word_buckets(w) for w in language.text_words(text)], np.int64).reshape(-1, 2)
+    return np.array([word_buckets(w) for w in language.text_words(text)], np.int64).reshape(-1, 3)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
