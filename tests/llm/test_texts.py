@@ -240,6 +240,14 @@ def test_toxicity_whole_words():
     assert ((got >= 0.5) == (labels[900:] == 1)).mean() >= 0.95
 
 
+def test_toxicity_digits():
+    """Words with digits are whole to the classifier and letter runs to the language models."""
+    text = "L0ser, code 88 and A1b2c3 x_y é² " + "q" * 95 + " " + "w" * 45 + "7" + "v" * 3 + " ß٣4 Ⅷ"
+    assert toxicity.letter_runs(toxicity.text_words(text)) == language.text_words(text)
+    rows = {tuple(r) for r in toxicity.text_buckets("l0ser 88")}
+    assert rows == {toxicity.word_buckets("l0ser"), toxicity.word_buckets("88")}
+
+
 def test_token_counts(spark, odd):
     trees = tokens.token_trees(odd)
     edits = spark.createDataFrame([(0, 3, 10, "new  words"), (0, 5, 6, "inside"), (0, 0, 0, " "), (108, 1000, 1001, "'s\n\n"), (100, 0, 5, "x"),

@@ -5,7 +5,9 @@ first four and first five letters, so that inflected and unseen forms share what
 was learned and words that only begin alike stay apart.  Filters of several
 widths run over the words, each filter's maximum over the whole text goes through
 a logistic layer.  In scoring, the share of every distinct word in each filter is
-computed once, so a text costs gathers and shifted sums.
+computed once, so a text costs gathers and shifted sums.  Words are runs of
+letters and digits of any length; the letter runs that the language models read
+are cut from them.
 
 The classifier is fitted on a bounded sample of labelled rows (``per_class`` of
 each label, chosen by a hash of the id); everything else covers all rows.  Rows
@@ -21,6 +23,7 @@ both kinds every score is 0.
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate
 
 import numpy as np
@@ -40,6 +43,24 @@ CHUNK_WORDS = 100_000
 SCORE_BINS = 400
 #: Labels that the common threshold weighs against those of a language.
 SHRINK = 200
+WORDS = re.compile(r"[^\W_]+")
+#: Words up to here are one piece to the language models, if they have letters only.
+PIECE = 40
+
+
+def text_words(text: str | None) -> list[str]:
+    return WORDS.findall(text.lower()) if text else []
+
+
+def letter_runs(words: list[str]) -> list[str]:
+    """``language.text_words`` of a text, from its ``text_words``."""
+    out = []
+    for w in words:
+        if len(w) <= PIECE and w.isalpha():
+            out.append(w)
+        else:
+            out += language.LETTERS.findall(w)
+    return out
 
 
 def word_buckets(word: str) -> tuple[int, int, int]:
@@ -195,7 +216,7 @@ class TextFilter:
 
 
 def text_buckets(text: str | None) -> np.ndarray:
-    return np.array([word_buckets(w) for w in language.text_words(text)], np.int64).reshape(-1, 3)
+    return np.array([word_buckets(w) for w in text_words(text)], np.int64).reshape(-1, 3)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
@@ -249,9 +270,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         for batch in batches:
-            whole = list(map(language.text_words, batch.column(1).to_pylist()))
+            whole = list(map(text_words, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classifier.value.scores(whole)),
-                                              pa.array(language.guesses(speaker.value, whole)[0], pa.string())], names=["doc_id", "raw", "guess"])
+                                              pa.array(language.guesses(speaker.value, list(map(letter_runs, whole)))[0], pa.string())], names=["doc_id", "raw", "guess"])
 
     kind = dict(rows.dtypes)["doc_id"]
     raw = materialize(rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, raw double, guess string"))
