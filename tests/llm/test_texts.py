@@ -137,6 +137,24 @@ def test_decontaminate(spark, odd):
     assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
 
 
+def test_decontaminate_long_documents(spark):
+    """An item of one shingle, and documents above the size classes that such an item once left."""
+    rng = random.Random(9)
+    item = " ".join(f"item{i}" for i in range(20))
+    items = spark.createDataFrame([(1, "just five words of benchmark"), (2, item)], "item_id long, text string")
+
+    def long_text(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        return " ".join(words[:n // 2]) + f" just five words of benchmark {item} " + " ".join(words[n // 2:])
+
+    for n, miss in (((1 << 20) + 100, decontaminate.MISS), (40_000, 1e-9)):
+        docs = spark.createDataFrame([(1, long_text(n)), (2, "w1 w2 w3 w4 w5 w6")], "doc_id long, text string")
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items, miss=miss).collect()} == {(1, 1), (1, 2)}
+    for miss in (1e-6, 1e-9, 1e-12):
+        x = 2.0 ** -decontaminate.extra_bits(1, miss=miss)
+        assert x / 2 - x * x / 6 <= miss * 1.001
+
+
 def test_mix(spark, odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)

@@ -8,10 +8,11 @@ lower-case words of letters and digits.  Documents fall into size classes
 document shares a bin's minimum as often as the document leaves the bin to it:
 with a load of x shingles per bin that is (1 - e^-x)/x of its shingles.  ``s`` is
 chosen from the smallest item so that an item at the threshold shares no value
-with probability at most ``miss``.  Sharing one value makes a candidate; exact
-containment of the shingle strings decides.
+with probability at most ``miss``.  With 2^64 bins every hash is a value and none
+is missed.  Sharing one value makes a candidate; exact containment of the shingle
+strings decides.
 
-Items have one sketch per size class.  They are broadcast while all sketches
+Items have one sketch per size class, for every size that an array can have.  They are broadcast while all sketches
 take at most ``max_bytes``; beyond that the sketches are joined by shuffle.
 
 Null and short texts (below five words) have no shingles: such items are found
@@ -32,6 +33,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 MISS = 1e-6
 MAX_BYTES = 64 << 20
+#: An array has less than 2^31 elements.
+CLASSES = 32
 SPACE = r"[^\p{L}\p{N}]+"
 
 
@@ -71,11 +74,16 @@ def extra_bits(smallest_item: int, threshold: float = THRESHOLD, miss: float = M
     must = max(1, math.ceil(threshold * smallest_item))
     wanted = 1 - miss ** (1 / must)
     bits = 0
-    while bits < 24 and (1 - math.exp(-(2.0 ** -bits))) * 2.0 ** bits < wanted:
+    while bits < 63 and -math.expm1(-(2.0 ** -bits)) * 2.0 ** bits < wanted:
         bits += 1
     return bits
 
 
+def _bins(bits: int) -> Column:
+    """Bits that name a bin in the size class of a row."""
+    return F.least(F.col("class") + bits + 1, F.lit(64))
+
+
 def bin_minima(hashes: str, bits: Column) -> Column:
     """The smallest hash of each of 2^bits bins (the high bits of a hash name its bin), from a column of sorted hashes."""
     shift = F.lit(64) - bits
@@ -95,10 +103,10 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     known = known.filter(F.size("shingles") > 0)
     size = known.agg(F.min(F.size("shingles")).alias("least"), F.sum(F.size("hashes")).alias("all")).first()
     bits = extra_bits(size["least"] or 1, threshold, miss)
-    classes = F.sequence(F.lit(0), F.lit(39 - bits))
+    classes = F.sequence(F.lit(0), F.lit(CLASSES - 1))
     sketches = (known.select("item_id", "hashes", F.explode(classes).alias("class"))
-                .select("item_id", "class", F.explode_outer(bin_minima("hashes", F.col("class") + bits + 1)).alias("value")))
-    if (size["all"] or 0) * (40 - bits) * 24 <= max_bytes:
+                .select("item_id", "class", F.explode_outer(bin_minima("hashes", _bins(bits))).alias("value")))
+    if (size["all"] or 0) * CLASSES * 24 <= max_bytes:
         sketches = F.broadcast(sketches)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -107,7 +115,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     size_class = F.coalesce(F.ceil(F.log2(F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1)).cast("double"))).cast("int"), F.lit(0))
     classed = with_hashes(worded.withColumn("class", size_class)).select("doc_id", "class", "hashes")
     # outer: a plain explode gets an inferred filter below it that would compute the arrays again
-    values = classed.select("doc_id", "class", F.explode_outer(bin_minima("hashes", F.col("class") + bits + 1)).alias("value"))
+    values = classed.select("doc_id", "class", F.explode_outer(bin_minima("hashes", _bins(bits))).alias("value"))
     pairs = materialize(values.join(sketches, ["class", "value"]).select("doc_id", "item_id").distinct())
 
     per_doc = pairs.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("item_id").alias("items"))
