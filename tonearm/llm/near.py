@@ -1,18 +1,19 @@
-"""Near duplicates: Jaccard join of word shingles with a MinHash LSH forest.
+"""Near duplicates: Jaccard join of word shingles with MinHash banding of fixed depth.
 
-Each distinct set of five-word shingles gets a label of MinHash values in each
-tree of the forest.  Labels sorted by prefix are the tries; two sets match in a
-tree at depth k if their labels share a prefix of k values.  The depth starts at
-the longest prefix and is shortened until the expected share of pairs at the
-threshold that match in some tree, 1 - (1 - t^k)^trees, reaches ``recall``.
+Each distinct set of five-word shingles gets ``TREES`` bands of MinHash values;
+two sets match if all values of a band are equal.  The depth of a band is fixed
+before any data is read: the longest k for which the expected share of pairs at
+the threshold that match in some band, 1 - (1 - t^k)^trees, reaches ``recall``
+(4 of at most 8 here; such a pair is missed with probability 2.7e-5).  There are
+no tries and no longer prefixes, and the recall is not measured on the data.
 
-Matches are not expanded into pairs.  A trie node links its sets to one of them;
+Matches are not expanded into pairs.  A band value links its sets to one of them;
 the connected clusters are candidates, and each set's shingles travel once per
 cell of its cluster.  A cell holds two blocks of a cluster (at most about
 ``block_shingles`` shingles and ``block_sets`` sets each); it computes the exact
 Jaccard similarity of all its pairs by matrix products and returns, for each set,
 the number of linked texts, and a spanning forest of the links.  So no link
-between different texts is lost and no group is written out as pairs.  The work
+between matched texts is lost and no group is written out as pairs.  The work
 in a cluster grows with the square of its size, in cells of fixed size.
 
 Texts of one to four words have one shingle, all of their words.  Null texts and
