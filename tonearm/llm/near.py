@@ -4,7 +4,7 @@ Each distinct set of five-word shingles gets ``TREES`` bands of MinHash values;
 two sets match if all values of a band are equal.  The depth of a band is fixed
 before any data is read: the longest k for which the expected share of pairs at
 the threshold that match in some band, 1 - (1 - t^k)^trees, reaches ``recall``
-(4 of at most 8 here; such a pair is missed with probability 2.7e-5).  There are
+(4 of at most 8 here; such a pair is missed with probability 2.6e-5).  There are
 no tries and no longer prefixes, and the recall is not measured on the data.
 
 Matches are not expanded into pairs.  A band value links its sets to one of them;
