@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "mixing", "warc", "urls", "decontaminate", "substrings", "near", "language", "toxicity", "tokens")
+MODULES = ("quality", "mixing", "warc", "urls", "decontaminate", "substrings", "near", "language", "toxicity", "tokens", "spelling", "lines", "whitening")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
