@@ -208,10 +208,13 @@ def near_words(words: DataFrame, symbols: int | None = None, length: int = LENGT
                         yield pa.RecordBatch.from_arrays([pa.array(ids[rows[at[some]]]), pa.array(found[some].view(np.int64))], names=["id", "code"])
 
     reached = words.select("id", "word").mapInArrow(reach, "id long, code long")
-    pairs = reached.join(coded.withColumnRenamed("id", "near"), "code").filter(F.col("id") != F.col("near")).select("id", "near")
-    left = words.select("id", "word")
+    # both neighbourhoods find a pair: one of the two is verified and then told in both directions
+    pairs = reached.join(coded.withColumnRenamed("id", "near"), "code").filter(F.col("id") < F.col("near")).select("id", "near")
+    left = words.select("id", "word", "n")
     right = words.select(F.col("id").alias("near"), F.col("word").alias("near_word"), F.col("n").alias("near_n"))
-    return pairs.join(left, "id").join(right, "near").filter(F.levenshtein("word", "near_word", 1) == 1).select("id", "near_word", "near_n")
+    found = pairs.join(left, "id").join(right, "near").filter(F.levenshtein("word", "near_word", 1) == 1)
+    ways = F.array(F.struct("id", "near_word", "near_n"), F.struct(F.col("near").alias("id"), F.col("word").alias("near_word"), F.col("n").alias("near_n")))
+    return found.select(F.inline(ways))
 
 
 def variant_groups(words: DataFrame, factor: int = FACTOR, symbols: int | None = None, length: int = LENGTH) -> DataFrame:
