@@ -36,8 +36,9 @@ from tonearm.session import checkpoint_dir, materialize
 MIN_DOCS, FANOUT, BATCHES = 10, 3, 6
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 FLUSH_KEYS = 300_000
-#: Rows of a run per bucket, and bytes of frequent keys that may go to all tasks.
-BUCKET_ROWS = 4_000_000
+#: Rows of a run per bucket (the first where there are fewer buckets than shuffle partitions, the second always), and
+#: bytes of frequent keys that may go to all tasks.
+BUCKET_ROWS = (100_000, 4_000_000)
 SENT_BYTES = 32 << 20
 
 
@@ -119,20 +120,20 @@ class LineRuns:
         runs.levels, runs.settled = [list(level) for level in manifest["levels"]], list(manifest["settled"])
         for name in [*runs.settled, *(n for level in runs.levels for n in level)]:
             columns = "h1 BIGINT, h2 BIGINT" + ("" if name in runs.settled else ", n BIGINT")
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (h1) SORTED BY (h1, h2) INTO {runs.buckets} BUCKETS "
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {runs.buckets} BUCKETS "
                       f"LOCATION '{runs.folder}/{name}'")
         return runs
 
     def _write(self, frame: DataFrame) -> str:
         """A sorted run: one file per bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
-        (frame.sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
+        (frame.sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
          .option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name))
         return name
 
     def _dealt(self, frame: DataFrame) -> DataFrame:
         """Counts by key, placed as the buckets of the runs are."""
-        return frame.repartition(self.buckets, "h1").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        return frame.repartition(self.buckets, "h1", "h2").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
     def _open(self, counts: DataFrame) -> DataFrame:
         """Without the keys that are settled: a merge anti-join with each settled run."""
@@ -145,10 +146,10 @@ class LineRuns:
         counts = materialize(counts)  # read twice
         frequent = counts.filter(F.col("n") >= self.min_docs).select("h1", "h2")
         if not frequent.isEmpty():
-            self.settled.append(self._write(frequent.repartition(self.buckets, "h1")))
-        self.levels[level].append(self._write(counts.filter(F.col("n") < self.min_docs).repartition(self.buckets, "h1")))
+            self.settled.append(self._write(frequent.repartition(self.buckets, "h1", "h2")))
+        self.levels[level].append(self._write(counts.filter(F.col("n") < self.min_docs).repartition(self.buckets, "h1", "h2")))
         if len(self.settled) > self.fanout:
-            merged = self._union(self.settled).distinct().repartition(self.buckets, "h1")
+            merged = self._union(self.settled).distinct().repartition(self.buckets, "h1", "h2")
             self.settled = [self._write(merged)]
 
     def _union(self, names: list[str]) -> DataFrame:
@@ -270,13 +271,18 @@ def _dropped_by_join(rows: DataFrame, frequent: DataFrame, kind: str) -> DataFra
     return keyed.join(own, "doc", "left").select("doc_id", "text", "own").mapInArrow(clean, f"doc_id {kind}, {REPORT}")
 
 
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    few, most = (-(-rows // n) for n in BUCKET_ROWS)
+    return max(1, most, min(few, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, batches: int = BATCHES,
                    fanout: int = FANOUT) -> DataFrame:
     """h1, h2 of the line keys of at least ``min_docs`` documents; documents are dealt into batches by their id."""
     number = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(batches))
     rows = docs.select(number.alias("batch"), F.col(text_col).alias("text"))
     counts = materialize(line_counts(rows, "text", "batch"))
-    runs = LineRuns(docs.sparkSession, min_docs, fanout, max(1, -(-counts.count() // BUCKET_ROWS)))
+    runs = LineRuns(docs.sparkSession, min_docs, fanout, buckets_for(docs.sparkSession, counts.count()))
     for i in range(batches):
         runs.add(counts.filter(F.col("batch") == i))
     return runs.frequent()
