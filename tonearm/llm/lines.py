@@ -153,10 +153,8 @@ class LineRuns:
             self.settled = [self._write(merged)]
 
     def _union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
-        return out
+        """All rows of some runs, read as plain files: their buckets are dealt anew."""
+        return self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*(f"{self.folder}/{name}" for name in names))
 
     def add(self, counts: DataFrame) -> None:
         """A new batch: rows (h1, h2, n) of ``line_counts``."""
