@@ -281,13 +281,17 @@ def text_words(text: str | None) -> list[str]:
 
 def guesses(model: Model, texts: list[list[str]]):
     """(language, entropy, margin to the second language) of texts, given as their words."""
+    return decide(model, *(model.entropies(texts) if model.langs else (np.zeros((len(texts), 0)), np.zeros(len(texts)))))
+
+
+def decide(model: Model, entropy: np.ndarray, sizes: np.ndarray):
+    """(language, entropy, margin to the second language) by the entropies and numbers of characters of texts."""
     if not model.langs:
-        return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-    entropy, sizes = model.entropies(texts)
+        return [UNKNOWN] * len(sizes), [0.0] * len(sizes), [0.0] * len(sizes)
     order = np.argsort(entropy, axis=1, kind="stable")
-    rows = np.arange(len(texts))
+    rows = np.arange(len(sizes))
     best = entropy[rows, order[:, 0]]
-    margin = entropy[rows, order[:, 1]] - best if len(model.langs) > 1 else np.full(len(texts), BINS * BIN_WIDTH)
+    margin = entropy[rows, order[:, 1]] - best if len(model.langs) > 1 else np.full(len(sizes), BINS * BIN_WIDTH)
     margin = np.where(sizes > 0, margin, 0.0)
     return [model.langs[o] if n else UNKNOWN for o, n in zip(order[:, 0], sizes)], best, margin
 

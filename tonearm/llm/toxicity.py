@@ -4,10 +4,10 @@ A word's vector is the sum of the hashed embeddings of the whole word and of its
 first four and first five letters, so that inflected and unseen forms share what
 was learned and words that only begin alike stay apart.  Filters of several
 widths run over the words, each filter's maximum over the whole text goes through
-a logistic layer.  In scoring, the share of every distinct word in each filter is
-computed once, so a text costs gathers and shifted sums.  Words are runs of
-letters and digits of any length; the letter runs that the language models read
-are cut from them.
+a logistic layer.  In scoring, every distinct word is numbered once: its share in each
+filter and its log probabilities in the language models lie in one table, so a text
+costs one number per word, gathers and shifted sums.  Words are runs of letters and
+digits of any length; the letter runs that the language models read are cut from them.
 
 The classifier is fitted on a bounded sample of labelled rows (``per_class`` of
 each label, chosen by a hash of the id); everything else covers all rows.  Rows
@@ -24,7 +24,6 @@ both kinds every score is 0.
 from __future__ import annotations
 
 import re
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,9 @@ from tonearm.session import materialize
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 18, 16, 8, (1, 2, 3)
 PER_CLASS = 3000
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.01, 1e-5
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 CHUNK_WORDS = 100_000
+SLICE_ROWS = 256
 SCORE_BINS = 400
 #: Labels that the common threshold weighs against those of a language.
 SHRINK = 200
@@ -78,10 +78,6 @@ class TextFilter:
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.offset = np.zeros(1, np.float32)
-        self._index, self._shares = {}, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_index": {}, "_shares": None}
 
     def parameters(self) -> list[np.ndarray]:
         return [*self.filters.values(), *self.bias.values(), self.out, self.offset]
@@ -156,63 +152,122 @@ class TextFilter:
                     self.embedding[unique] -= 0.05 * total / np.sqrt(squares[unique])[:, None]
         return self
 
-    def _words(self, words: list[str]) -> np.ndarray:
-        """Rows of the share table, one per word; new ones are added, a full table is emptied."""
-        distinct = set(words)
-        fresh = [*distinct.difference(self._index)]
-        if self._shares is None or len(self._index) + len(fresh) > len(self._shares[1, 0]):
-            fresh, self._index = [*distinct], {}
-            self._shares = {(w, j): np.zeros((max(CACHE_WORDS, len(fresh)), FILTERS), np.float32) for w in WIDTHS for j in range(w)}
-        if fresh:
-            x = self.embedding[np.array([word_buckets(w) for w in fresh])].sum(1)
-            at = len(self._index)
-            for (w, j), share in self._shares.items():
-                share[at:at + len(fresh)] = x @ self.filters[w][j * SIZE:(j + 1) * SIZE] + (self.bias[w] if j == 0 else 0)
-            self._index.update(zip(fresh, range(at, at + len(fresh))))
-        return np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
-
-    def _pooled(self, texts: list[list[str]]) -> np.ndarray:
-        """Filter maxima of short lists of words."""
-        ends = list(accumulate(map(len, texts)))
-        rows = self._words([w for ws in texts for w in ws])
-        out = np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
-        for k, w in enumerate(WIDTHS):
-            if len(rows) >= w:
-                n = len(rows) - w + 1
-                values = self._shares[w, 0].take(rows[:n], axis=0)
-                for j in range(1, w):
-                    values += self._shares[w, j].take(rows[j:j + n], axis=0)
-                start = np.array([0, *ends[:-1]])
-                has = np.flatnonzero(np.array(ends) - start >= w)
-                if len(has):
-                    # windows that run into the next text are left out: pairs of (first, past last) per text
-                    bounds = np.stack([start[has], np.array(ends)[has] - w + 1], 1).ravel()
-                    best = np.maximum.reduceat(np.vstack([values, np.full((1, FILTERS), -np.inf, np.float32)]), bounds)[::2]
-                    out[has, k * FILTERS:(k + 1) * FILTERS] = best
-        return out
+    def shares(self, ids: np.ndarray) -> np.ndarray:
+        """(words, columns): what each word, given as embedding rows, adds to the windows it stands in (see ``SHARES``)."""
+        x = self.embedding[ids].sum(1)
+        return np.concatenate([x @ self.filters[w][j * SIZE:(j + 1) * SIZE] + (self.bias[w] if j == 0 else 0) for w, j in SHARES], axis=1)
+
+    def probability(self, pooled: np.ndarray) -> np.ndarray:
+        z = np.maximum(pooled, 0) @ self.out + self.offset[0]
+        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """Probability of each whole text, given as its words.  Long texts are pooled in overlapping pieces."""
-        pieces, owner, size, out = [], [], 0, np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
+        """Probability of each whole text, given as its words."""
+        return Scorer(self).read(texts)[0]
+
+
+#: Columns of shares: for each width the word at each place of a window.
+SHARES = [(w, j) for w in WIDTHS for j in range(w)]
+
+
+class Scorer:
+    """Reads texts with a classifier and, if given, language models; distinct words are looked up in one table."""
+
+    def __init__(self, classifier: TextFilter, speaker: "language.Model | None" = None, most: int = CACHE_WORDS):
+        self.classifier, self.speaker, self.most = classifier, speaker, most
+        self.langs = len(speaker.langs) if speaker else 0
+        self._index, self._shares, self._logs, self._chars = {}, None, None, None
+        self._beginnings = {}
+
+    def _buckets(self, words: list[str]) -> np.ndarray:
+        """``word_buckets`` of words; beginnings recur, so theirs are kept."""
+        known = self._beginnings
+        if len(known) > self.most:
+            known.clear()
+        out = []
+        for word in words:
+            for begin in ("4" + word[:4], "5" + word[:5]):
+                if begin not in known:
+                    known[begin] = xxhash.xxh3_64_intdigest(begin) % BUCKETS
+            out.append((xxhash.xxh3_64_intdigest("w" + word) % BUCKETS, known["4" + word[:4]], known["5" + word[:5]]))
+        return np.array(out, np.int64).reshape(-1, 3)
+
+    def _spoken(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log probabilities in every language, characters) of words: the sums of their letter runs."""
+        runs = [(i, run) for i, word in enumerate(words) for run in letter_runs([word])]
+        logs, chars = np.zeros((len(words), self.langs), np.float32), np.zeros(len(words), np.int64)
+        if runs and self.langs:
+            at = np.fromiter((i for i, _ in runs), np.int64, len(runs))
+            np.add.at(logs, at, self.speaker.word_scores([run for _, run in runs]))
+            np.add.at(chars, at, np.fromiter((len(run) + 1 for _, run in runs), np.int64, len(runs)))
+        return logs, chars
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Row of each word in the table; new words are added, a full table is emptied."""
+        index = self._index
+        fresh = [*set(words).difference(index)]
+        if self._shares is None or len(index) + len(fresh) > len(self._shares):
+            fresh, index = [*set(words)], {}
+            self._index, size = index, max(self.most, len(fresh))
+            self._shares = np.zeros((size, len(SHARES) * FILTERS), np.float32)
+            self._logs, self._chars = np.zeros((size, self.langs), np.float32), np.zeros(size, np.int64)
+        for start in range(0, len(fresh), 20_000):
+            new, at = fresh[start:start + 20_000], len(index)
+            self._shares[at:at + len(new)] = self.classifier.shares(self._buckets(new))
+            self._logs[at:at + len(new)], self._chars[at:at + len(new)] = self._spoken(new)
+            index.update(zip(new, range(at, at + len(new))))
+        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+    def read(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability, log probabilities in every language, characters) of whole texts; long ones in overlapping pieces."""
+        pooled = np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
+        logs, chars = np.zeros((len(texts), self.langs)), np.zeros(len(texts), np.int64)
+        pieces, owners, own, size = [], [], [], 0
 
         def flush():
             if pieces:
-                np.maximum.at(out, np.array(owner), self._pooled(pieces))
-            pieces.clear()
-            owner.clear()
+                self._pool(pieces, owners, own, pooled, logs, chars)
+            for part in (pieces, owners, own):
+                part.clear()
 
         for i, words in enumerate(texts):
             for at in range(0, len(words), CHUNK_WORDS):
                 piece = words[at:at + CHUNK_WORDS + max(WIDTHS) - 1]
                 pieces.append(piece)
-                owner.append(i)
+                owners.append(i)
+                own.append(min(CHUNK_WORDS, len(piece)))  # the others are read again in the next piece
                 size += len(piece)
                 if size >= CHUNK_WORDS:
                     flush()
                     size = 0
         flush()
-        z = np.maximum(out, 0) @ self.out + self.offset[0]
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+        return self.classifier.probability(pooled), logs, chars
+
+    def _pool(self, pieces, owners, own, pooled, logs, chars):
+        """Add pieces of at least one word: filter maxima, sums of log probabilities and characters."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        start, owner = ends - sizes, np.array(owners)
+        rows = self.rows([word for piece in pieces for word in piece])
+        if self.langs:
+            bounds = np.stack([start, start + np.array(own)], 1).ravel()
+            bounds = bounds[:-1] if bounds[-1] == len(rows) else bounds
+            for values, out in ((self._logs, logs), (self._chars, chars)):
+                np.add.at(out, owner, np.add.reduceat(values[rows].astype(out.dtype), bounds, axis=0)[::2])
+        shares = self._shares[rows]
+        column = {place: slice(k * FILTERS, (k + 1) * FILTERS) for k, place in enumerate(SHARES)}
+        for k, w in enumerate(WIDTHS):
+            has = np.flatnonzero(sizes >= w)
+            if not len(has):
+                continue
+            n = len(rows) - w + 1
+            values = np.full((n + 1, FILTERS), -np.inf, np.float32)
+            values[:n] = shares[:n, column[w, 0]]
+            for j in range(1, w):
+                values[:n] += shares[j:j + n, column[w, j]]
+            # windows that run into the next text are left out: pairs of (first, past last) per text
+            bounds = np.stack([start[has], ends[has] - w + 1], 1).ravel()
+            np.maximum.at(pooled[:, k * FILTERS:(k + 1) * FILTERS], owner[has], np.maximum.reduceat(values, bounds)[::2])
 
 
 def text_buckets(text: str | None) -> np.ndarray:
@@ -226,7 +281,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     parts = [known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_class) for y in (1, 0)]
     chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "__id")  # at most 2 * per_class rows: sent to all
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select("doc_id", "text", "toxic")
-    rows = rows.orderBy("doc_id", F.xxhash64("text")).limit(2 * per_class).toPandas()
+    # one text of each chosen id: no id is left out where ids repeat
+    once = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r"))
+    rows = once.orderBy("doc_id").select("r.text", "r.toxic").toPandas()
     return rows["text"].tolist(), rows["toxic"].to_numpy(float)
 
 
@@ -269,10 +326,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     speaker = spark.sparkContext.broadcast(language.fit(rows.filter(language.fold(F.col("doc_id")) > 1).select("lang", "text")))
 
     def run(batches):
-        for batch in batches:
-            whole = list(map(text_words, batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classifier.value.scores(whole)),
-                                              pa.array(language.guesses(speaker.value, list(map(letter_runs, whole)))[0], pa.string())], names=["doc_id", "raw", "guess"])
+        scorer = Scorer(classifier.value, speaker.value)
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
+            score, logs, chars = scorer.read(list(map(text_words, batch.column(1).to_pylist())))
+            guess = language.decide(speaker.value, -logs / np.maximum(chars, 1)[:, None], chars)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(guess, pa.string())], names=["doc_id", "raw", "guess"])
 
     kind = dict(rows.dtypes)["doc_id"]
     raw = materialize(rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, raw double, guess string"))
