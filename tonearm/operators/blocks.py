@@ -1,13 +1,16 @@
 """Block join: score every allowed (anchor, candidate) pair without ever emitting the pairs.
 
 Candidates are spread over blocks of bounded size, each inside one genre lane.
-Anchor rows are sent to the blocks whose lane they may reach.  A task streams one
-block at a time: the block's candidates are held (bounded), anchor rows arrive in
-Arrow batches, and only a bounded list per (anchor, block) leaves the task.  Spark
-does the partitioning, the shuffle and the final merge.
-
-A lane, an artist or a recording that holds a third of the library is split over
-many blocks like everything else, so no key decides the size of a task.
+Anchor rows are sent to the blocks whose lane they may reach.  Where more than
+``CHUNK_ROWS`` anchors reach a block, they are cut into chunks and the block is
+copied to each: the unit of work is a *cell* of one block and one chunk, bounded on
+both sides, and the number of tasks follows the number of cells.  A task streams one
+cell at a time: the block's candidates are held, anchor rows arrive in Arrow batches,
+and only a bounded list per (anchor, block) leaves the task.  Spark does the
+partitioning, the shuffle and the final merge.
+
+A lane, an artist, a recording or a requester that holds a third of either side is
+split over many cells like everything else, so no key decides the size of a task.
 """
 
 from __future__ import annotations
@@ -18,7 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tonearm.session import materialize
+
 BLOCK_ROWS = 4096
+CHUNK_ROWS = 16384
+MOST_TASKS = 20_000
 CANDIDATE, TASTE, AVERSE, SEEN, FEEDBACK, ANCHOR = 0, 1, 2, 3, 4, 5
 ROW_COLUMNS = ["block", "grp", "side", "id", "s", "x", "p", "used"]
 
@@ -41,6 +48,40 @@ def assign_blocks(candidates: DataFrame, lane: str = "lane", spread: str = "iden
             .withColumn("block", F.when(F.col("split"), cut).otherwise(whole)).drop("lane_rows", "parts"))
 
 
+class Cells:
+    """How the anchors of each block are cut into chunks.
+
+    ``asks`` has a row per (request, block), ``most`` is the number of requests: a block
+    cannot get more rows than there are requests, so few requests need no counting.
+    """
+
+    def __init__(self, blocks: DataFrame, asks: DataFrame, most: int, chunk_rows: int = CHUNK_ROWS):
+        n_blocks = blocks.select("block").distinct().count()
+        self.parts, self.count = None, n_blocks
+        if most > chunk_rows:
+            per_block = asks.groupBy("block").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("_parts"))
+            self.parts = materialize(per_block.filter("_parts > 1"))
+            self.count += self.parts.agg(F.coalesce(F.sum(F.col("_parts") - 1), F.lit(0))).first()[0]
+
+    def candidates(self, cands: DataFrame) -> DataFrame:
+        """Candidate rows once per cell of their block."""
+        if self.parts is None:
+            return cands
+        every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+        return cands.join(self.parts, "block", "left").withColumn("_part", F.explode(every)).withColumn("block", self._name()).drop("_parts", "_part")
+
+    def asks(self, asks: DataFrame, key: str = "request_id") -> DataFrame:
+        """Anchor rows in the cell of their chunk; ``home`` is the block."""
+        asks = asks.withColumn("home", F.col("block"))
+        if self.parts is None:
+            return asks
+        part = F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1)))
+        return asks.join(self.parts, "block", "left").withColumn("_part", part).withColumn("block", self._name()).drop("_parts", "_part")
+
+    def _name(self) -> Column:
+        return F.when(F.col("_parts").isNull(), F.col("block")).otherwise(F.concat_ws("/", "block", "_part"))
+
+
 def rows(df: DataFrame, side: int, grp: Column | str = "", s=None, x=None, p=None, used=None,
          row_id: str = "id") -> DataFrame:
     """Bring one side to the common row layout of a block stream."""
@@ -52,13 +93,13 @@ def rows(df: DataFrame, side: int, grp: Column | str = "", s=None, x=None, p=Non
         pick(used, "array<array<string>>").alias("used"))
 
 
-def run(parts: list[DataFrame], kernel: Callable, schema: str) -> DataFrame:
-    """Stream each block through ``kernel(candidates, groups) -> iterator of column dicts``."""
+def run(parts: list[DataFrame], kernel: Callable, schema: str, cells: int = 1) -> DataFrame:
+    """Stream each cell through ``kernel(candidates, groups) -> iterator of column dicts``; ``cells`` is their number."""
     stream = parts[0]
     for part in parts[1:]:
         stream = stream.unionByName(part)
     spark = stream.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(max(cells, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
     # the order (candidates first, then one requester group after the other) is what keeps memory bounded
     stream = stream.repartition(n, "block").sortWithinPartitions("block", "grp", "side", "id")
 

@@ -167,6 +167,17 @@ def top_k(scores, k):
     return np.argsort(-scores, axis=1, kind="stable")[:, :k]
 
 
+def best_first(scores, k):
+    """For each row the columns of its k best scores and of all that equal the last of them, best first; ties keep column order."""
+    if scores.shape[1] <= 2 * k:
+        yield from np.argsort(-scores, axis=1, kind="stable")
+        return
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    for row, low in zip(scores, least):
+        columns = np.flatnonzero(row >= low)
+        yield columns[np.argsort(-row[columns], kind="stable")]
+
+
 class CosineTop(Worker):
     """k best dot products of unit vectors, after rounding."""
 
@@ -307,26 +318,32 @@ class Recommend(Worker):
                 factor = factor * np.where(other, 1 - np.minimum(0.18, c[:, mood_at][:, sad] * 0.35), 1.0)[None, :]
         return factor
 
+    def pick(self, total, columns):
+        """(main, rest, whether all allowed columns were seen): columns come best first."""
+        taken, artists, main, rest = set(), {}, [], []
+        for column in columns.tolist():
+            if total[column] < 0 or len(main) >= self.k:
+                return main, rest, True
+            if self.identities[column] in taken:
+                continue
+            taken.add(self.identities[column])
+            artist = self.artists[column]
+            if self.split or artists.get(artist, 0) < 2:
+                artists[artist] = artists.get(artist, 0) + 1
+                main.append(column)
+            elif len(rest) < self.k:
+                rest.append(column)
+        return main, rest, len(columns) == self.size
+
     def score(self, a: Rows):
         total = np.round(self.total(a), 4)
         same = equal(a, self.c, "identity") | (a.s[:, -1][:, None] == self.c.ids[None, :])
         total[same] = -1.0
         out = tuple([] for _ in self.names)
-        order = top_k(total, self.size)
-        for row, columns in enumerate(order):
-            taken, artists, main, rest = set(), {}, [], []
-            for column in columns:
-                if total[row, column] < 0 or (len(main) >= self.k):
-                    break
-                if self.identities[column] in taken:
-                    continue
-                taken.add(self.identities[column])
-                artist = self.artists[column]
-                if self.split or artists.get(artist, 0) < 2:
-                    artists[artist] = artists.get(artist, 0) + 1
-                    main.append(column)
-                elif len(rest) < self.k:
-                    rest.append(column)
+        for row, columns in enumerate(best_first(total, 6 * self.k)):
+            main, rest, all_seen = self.pick(total[row], columns)
+            if len(main) < self.k and not all_seen:
+                main, rest, _ = self.pick(total[row], np.argsort(-total[row], kind="stable"))
             chosen = main + rest
             for column, values in zip(out, ([a.ids[row]] * len(chosen), self.c.ids[chosen], self.identities[chosen],
                                             self.artists[chosen], total[row, chosen],

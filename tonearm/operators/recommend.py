@@ -120,7 +120,8 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
               averse: DataFrame | None = None, seen: DataFrame | None = None, dialect: str = "hosted",
               styles: Styles | None = None, themes=None, blocked: DataFrame | None = None,
               candidates: DataFrame | None = None,
-              learned: tuple[int, list[str]] | None = None, feedback: DataFrame | None = None, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+              learned: tuple[int, list[str]] | None = None, feedback: DataFrame | None = None, block_rows: int = blocks.BLOCK_ROWS,
+              chunk_rows: int = blocks.CHUNK_ROWS) -> DataFrame:
     """Top-k per request: request_id, anchor_id, track_id, rank, hybrid_score and the three parts.
 
     ``blocked`` is a stored result of ``candidate_blocks`` (of the library or of a part of it).
@@ -146,9 +147,11 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
     pairs = lane_pairs(asked, cands, genre_scope, styles)
     directory = cands.select("lane", "block").distinct()
     routed = (asked.withColumnRenamed("lane", "anchor_lane").join(pairs, "anchor_lane").join(directory, "lane"))
+    cells = blocks.Cells(directory, routed, requests.count(), chunk_rows)
+    routed = cells.asks(routed)
     x, s = features(themes, learned is not None), texts()
     parts = [
-        blocks.rows(cands, blocks.CANDIDATE, "", texts(F.col("split")), x, row_id="track_id"),
+        blocks.rows(cells.candidates(cands), blocks.CANDIDATE, "", texts(F.col("split")), x, row_id="track_id"),
         blocks.rows(routed, blocks.ANCHOR, F.coalesce(group, F.lit("~")), F.concat(s, F.array("anchor_id")), x,
                     F.array("genre"), row_id="request_id"),
     ]
@@ -160,8 +163,9 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
                 known = table.select("user_id", "track_id").distinct().join(fx, "track_id").join(reach, "user_id")
                 parts.append(blocks.rows(known, side, group, x=F.col("x"), row_id="track_id"))
         if seen is not None:
-            home = cands.select("track_id", "block")
-            known = seen.select("user_id", "track_id").distinct().join(home, "track_id")
+            home = cands.select("track_id", F.col("block").alias("home"))
+            known = seen.select("user_id", "track_id").distinct().join(home, "track_id").join(
+                routed.select("user_id", "home", "block").distinct(), ["user_id", "home"])
             parts.append(blocks.rows(known, blocks.SEEN, group, row_id="track_id"))
         if feedback is not None:
             said = feedback.join(prepared, "track_id", "left").join(reach, "user_id")
@@ -175,7 +179,7 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
         strength = 0.20 if mode in ("rhythm", "timbre") else 0.42
         sad = labels.index("melancholic") if "melancholic" in labels else None
         kernel = partial(kernel, learned=(dims, len(labels), sad, strength))
-    local = blocks.run(parts, kernel, TOP_SCHEMA)
+    local = blocks.run(parts, kernel, TOP_SCHEMA, cells.count)
     merged = diversify(local, "request_id", k)
     return requests.join(merged, "request_id")
 

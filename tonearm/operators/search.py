@@ -8,12 +8,15 @@ no row that could qualify is left out.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tonearm.functions import text as tx
 from tonearm.functions.taxonomy import families as default_families
 from tonearm.limits import MAX_PAGE, MAX_SEARCH, within
-from tonearm.operators.catalogue import first_by
+from tonearm.operators.catalogue import first_by, ranked
+from tonearm.session import materialize
 
 # fixed values: fuzzy search weights and thresholds, local search threshold
 SIMILARITY_FLOOR, WORD_FLOOR, RELEVANCE_FLOOR = 0.16, 0.28, 24.0
@@ -81,45 +84,106 @@ def contains_candidates(queries: DataFrame, texts: DataFrame) -> DataFrame:
     return index.join(probes, "piece").select("query_id", "track_id")
 
 
-def search_fuzzy(tracks: DataFrame, queries: DataFrame, limit: int = 80) -> DataFrame:
-    """Trigram search of a query batch: (query_id, track_id, score, rank).
+class TextIndex(NamedTuple):
+    """A stored inverted index of the distinct texts of a catalogue (see ``text_index``)."""
+
+    texts: DataFrame  # text_id, title_n, text, grams (numbers, the rarest first)
+    grams: DataFrame  # gram, number (0 is the rarest)
+    members: DataFrame  # text_id, track_id
+
+
+def text_index(tracks: DataFrame) -> TextIndex:
+    """Trigrams of the distinct texts, numbered from the rarest to the most frequent.
+
+    Many tracks can share a text; it is indexed, matched and scored once.
+    """
+    named = _texts(tracks)
+    once = materialize(named.select("title_n", "text").distinct().withColumn("text_id", F.monotonically_increasing_id()))
+    held = once.select("text_id", F.explode(tx.trigrams("text")).alias("gram"))
+    counted = held.groupBy("gram").agg(F.count("*").alias("df"))
+    grams = materialize(ranked(counted, F.col("df"), F.col("gram"), name="number").select("gram", F.col("number").cast("int").alias("number")))
+    numbers = held.join(grams, "gram").groupBy("text_id").agg(F.array_sort(F.collect_list("number")).alias("grams"))  # the trigrams of one text
+    texts = materialize(once.join(numbers, "text_id", "left").withColumn("grams", F.coalesce("grams", F.array().cast("array<int>"))))
+    members = materialize(named.join(once, ["title_n", "text"]).select("text_id", "track_id"))
+    return TextIndex(texts, grams, members)
+
+
+def _needed(n_query: Column, n_text: Column) -> Column:
+    """Shared trigrams without which neither similarity reaches its floor."""
+    ratio = SIMILARITY_FLOOR / (1 + SIMILARITY_FLOOR)  # shared / united >= floor
+    return F.greatest(F.lit(1), F.least(F.ceil(n_query * WORD_FLOOR - 1e-9), F.ceil((n_query + n_text) * ratio - 1e-9)))
+
+
+def prefix_pairs(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, text_id) pairs that can share enough trigrams.
+
+    Sets in one order of rarity that share s members share one among the first
+    n - s + 1 of each, so only these prefixes meet; the most frequent trigrams are in
+    hardly any prefix.  What can still be shared after the last match in the prefixes
+    is bounded by what is left of either set.
+    """
+    n_query, n_text = F.col("n_query"), F.size("grams")
+    # unknown trigrams are rarer than all known ones and match nothing
+    probes = asked.select("query_id", "n_query", F.posexplode("q_grams").alias("place", "number"), (n_query - F.size("q_grams")).alias("unknown"))
+    probes = probes.withColumn("place", F.col("place") + F.col("unknown") + 1).filter(
+        F.col("place") <= n_query - F.ceil(n_query * SIMILARITY_FLOOR - 1e-9) + 1)
+    postings = texts.select("text_id", n_text.alias("n_text"), F.posexplode("grams").alias("at", "number")).withColumn("at", F.col("at") + 1)
+    need = _needed(n_query, F.col("n_text"))
+    met = probes.join(postings, "number").filter((F.col("place") <= n_query - need + 1) & (F.col("at") <= F.col("n_text") - need + 1))
+    counted = met.groupBy("query_id", "text_id", "n_query", "n_text").agg(
+        F.count("*").alias("shared"), F.max("place").alias("place"), F.max("at").alias("at"))
+    left = F.least(n_query - F.col("place"), F.col("n_text") - F.col("at"))
+    return counted.filter(F.col("shared") + left >= need).select("query_id", "text_id")
+
+
+def search_fuzzy(tracks: DataFrame, queries: DataFrame, limit: int = 80, index: TextIndex | None = None) -> DataFrame:
+    """Trigram search of a query batch: (query_id, track_id, similarity, word_similarity, score, rank).
 
     queries(query_id, query).  A row qualifies when the text contains the query, or the
-    trigram similarity is >= .16, or the word similarity is >= .28.  The last two need at
-    least ceil(.16 n) shared trigrams, so the ceil(.16 n)-1 most frequent trigrams of each
-    query are not probed at all; that keeps the hottest index entries out of the join.
+    trigram similarity is >= .16, or the word similarity is >= .28.  ``index`` is a stored
+    ``text_index`` of the tracks.  Texts and arrays are fetched for pairs that pass the
+    prefix, length and position filters; the word similarity is computed only where a bound
+    on the score reaches what ``limit`` rows of the query have for certain.
     """
     limit = within(limit, MAX_SEARCH, "limit")
-    texts = _texts(tracks).withColumns({"grams": tx.trigrams("text"), "run": tx.ordered_trigrams("text")})
+    index = index or text_index(tracks)
     asked = queries.select("query_id", tx.normalize_search("query").alias("q")).filter(F.col("q") != "")
-    asked = asked.withColumn("q_grams", tx.trigrams("q"))
-
-    index = texts.select("track_id", F.explode("grams").alias("gram"))
-    wanted = asked.select("query_id", F.size("q_grams").alias("n"), F.explode("q_grams").alias("gram"))
-    frequency = index.join(wanted.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = W.partitionBy("query_id").orderBy(F.col("df").asc(), "gram")
-    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * SIMILARITY_FLOOR - 1e-9))
-    probes = (wanted.join(frequency, "gram").withColumn("r", F.row_number().over(rarest))
-              .filter(F.col("r") <= F.col("n") - needed + 1).select("query_id", "gram"))
-    shared = index.join(probes, "gram").select("query_id", "track_id")
-    pairs = shared.union(contains_candidates(asked, texts)).distinct()
-
-    joined = pairs.join(asked, "query_id").join(texts, "track_id")
-    overlap = F.size(F.array_intersect("grams", "q_grams"))
-    similarity = F.when(F.size("grams") + F.size("q_grams") == overlap, F.lit(0.0)).otherwise(
-        overlap / (F.size("grams") + F.size("q_grams") - overlap))
-    joined = joined.withColumns({"similarity": similarity, "inside": F.contains("text", "q"), "bound": overlap / F.size("q_grams")})
-    # word similarity never exceeds the share of query trigrams found, so most pairs stop here
-    joined = joined.filter(F.col("inside") | (F.col("similarity") >= SIMILARITY_FLOOR) | (F.col("bound") >= WORD_FLOOR))
-    joined = joined.withColumn("word_similarity", tx.word_similarity("q_grams", "run"))
-    hits = joined.filter(F.col("inside") | (F.col("similarity") >= SIMILARITY_FLOOR) | (F.col("word_similarity") >= WORD_FLOOR))
+    known = asked.select("query_id", F.explode(tx.trigrams("q")).alias("gram")).join(index.grams, "gram", "left").groupBy("query_id").agg(
+        F.count("*").alias("n_query"), F.array_sort(F.collect_list("number")).alias("q_grams"))  # the trigrams of one query
+    asked = materialize(asked.join(known, "query_id"))
+
+    inside = contains_candidates(asked, index.texts.select(F.col("text_id").alias("track_id"), "text"))
+    pairs = prefix_pairs(asked, index.texts).union(inside).distinct()
+    joined = pairs.join(asked, "query_id").join(index.texts, "text_id")
+    joined = joined.withColumn("shared", F.size(F.array_intersect("grams", "q_grams")))
+    similarity = F.col("shared") / (F.size("grams") + F.col("n_query") - F.col("shared"))
+    joined = joined.withColumns({"similarity": similarity, "inside": F.contains("text", "q"), "bound": F.col("shared") / F.col("n_query")})
+    # word similarity never exceeds the share of query trigrams found
+    sure = F.col("inside") | (F.col("similarity") >= SIMILARITY_FLOOR)
     bonus = lambda cond, points: F.when(cond, F.lit(points)).otherwise(F.lit(0.0))
-    score = (bonus(F.col("title_n") == F.col("q"), 10.0) + bonus(F.col("text") == F.col("q"), 8.0)
-             + bonus(F.startswith("title_n", "q"), 4.0) + bonus(F.col("inside"), 2.0)
-             + 3.5 * F.col("similarity") + 2.5 * F.col("word_similarity"))
-    scored = hits.select("query_id", "track_id", "similarity", "word_similarity", score.alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "track_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    fixed = (bonus(F.col("title_n") == F.col("q"), 10.0) + bonus(F.col("text") == F.col("q"), 8.0)
+             + bonus(F.startswith("title_n", "q"), 4.0) + bonus(F.col("inside"), 2.0) + 3.5 * F.col("similarity"))
+    found = materialize(joined.filter(sure | (F.col("bound") >= WORD_FLOOR)).select(
+        "query_id", "text_id", "similarity", "inside", sure.alias("sure"), fixed.alias("fixed"), (fixed + 2.5 * F.col("bound")).alias("most")))
+
+    # the whole text is a run, so a sure row has at least its similarity as word similarity
+    least = F.col("fixed") + 2.5 * F.col("similarity")
+    order = W.partitionBy("query_id").orderBy(F.desc("least"), "text_id")
+    best = found.filter("sure").select("query_id", "text_id", least.alias("least")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+    cut = best.filter(F.col("n") == limit).select("query_id", F.col("least").alias("cut"))
+    open_ = found.join(cut, "query_id", "left").filter(F.col("cut").isNull() | (F.col("most") >= F.col("cut") - 2e-6))
+    wanted = asked.select("query_id", tx.trigrams("q").alias("q_run"))
+    runs = index.texts.select("text_id", tx.ordered_trigrams("text").alias("run"))
+    scored = open_.join(wanted, "query_id").join(runs, "text_id").withColumn("word_similarity", tx.word_similarity("q_run", "run"))
+    scored = scored.filter(F.col("sure") | (F.col("word_similarity") >= WORD_FLOOR))
+
+    # of the tracks of one text the first are enough
+    first = W.partitionBy("text_id").orderBy("track_id")
+    members = index.members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).drop("n")
+    rows = scored.join(members, "text_id").select("query_id", "track_id", "similarity", "word_similarity",
+                                                  (F.col("fixed") + 2.5 * F.col("word_similarity")).alias("score"))
+    place = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "track_id")
+    return rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
 
 
 def vocabulary(tracks: DataFrame) -> DataFrame:

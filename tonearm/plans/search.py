@@ -96,12 +96,12 @@ FUZZY = {
 @query("q_search_fuzzy", views=FUZZY, sql="""
 SELECT query_id, track_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, track_id) AS BIGINT) AS rank FROM sf QUALIFY rank <= 80""")
 def q_search_fuzzy(c):
-    return se.search_fuzzy(c.tracks, batch(c), 80).select("query_id", "track_id", r6("score"), F.col("rank").cast("bigint").alias("rank"))
+    return se.search_fuzzy(c.tracks, batch(c), 80, c.text_index).select("query_id", "track_id", r6("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("q_word_similarity", views=FUZZY, sql="SELECT query_id, track_id, round(sim, 6) AS similarity, round(ws, 6) AS word_similarity FROM sf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, track_id) <= 200")
 def q_word_similarity(c):
-    return se.search_fuzzy(c.tracks, batch(c), 200).select("query_id", "track_id", r6("similarity"), r6("word_similarity"))
+    return se.search_fuzzy(c.tracks, batch(c), 200, c.text_index).select("query_id", "track_id", r6("similarity"), r6("word_similarity"))
 
 
 PAIR = "run_pairs rp JOIN tracks a ON a.track_id = rp.anchor_id JOIN tracks b ON b.track_id = rp.track_id"

@@ -246,6 +246,12 @@ class Catalogue:
         from tonearm.operators.recommend import candidate_blocks
         return materialize(candidate_blocks(self.prepared))
 
+    @cached_property
+    def text_index(self):
+        """The inverted index of the catalogue's texts, written once."""
+        from tonearm.operators.search import text_index
+        return text_index(self.tracks)
+
     @cached_property
     def run_pairs(self) -> DataFrame:
         """Distinct (anchor, recommended track) pairs of the recorded runs."""
