@@ -380,39 +380,80 @@ def second(a: Rows, width: int, texts: int) -> tuple[Rows, Rows]:
     return first, other
 
 
-class Chain(Worker):
-    """One step of a transition run: shortlist by the cheap score, exact score beside it."""
+ROUGH_BINS = 128
+
+
+def rough_bins(rough):
+    """Bin of each rough score (0 to 1)."""
+    return np.clip(np.floor(rough * ROUGH_BINS), 0, ROUGH_BINS - 1).astype(np.int64)
+
+
+def rough_score(tempo, key, here, genre, dialect):
+    if dialect == "classic":
+        return 0.50 * tempo + 0.32 * key + 0.18 * here
+    return 0.47 * tempo + 0.30 * key + 0.13 * here + 0.10 * genre
 
-    names = ["request_id", "track_id", "rough", "score"]
 
-    def __init__(self, cands, scope, vibe_lock, dialect, shortlist):
-        self.scope, self.vibe_lock, self.dialect, self.shortlist = scope, vibe_lock, dialect, shortlist
+class ChainBins(Worker):
+    """First pass of a step: how many open candidates of the block lie in each bin of the rough score.
+
+    Bins below the block's own ``shortlist`` best cannot hold the cut and are not told.
+    """
+
+    names = ["request_id", "bin", "n"]
+
+    def __init__(self, cands, dialect, shortlist):
+        self.dialect, self.shortlist = dialect, shortlist
         super().__init__(cands)
         self.index_used()
 
     def score(self, a: Rows):
-        prev, anchor = second(a, a.x.shape[1] // 2, len(TEXTS))
-        genre, prev_genre, here, origin = (a.p[:, i][:, None] for i in range(4))
+        genre, here = (a.p[:, i][:, None] for i in (0, 2))
+        tempo = np.exp(-tempo_gap(a.x, self.c.x) / 12)
+        bins = rough_bins(rough_score(tempo, key_fit(a, self.c), here, genre, self.dialect))
+        open_ = np.stack([self.free(ids, recordings) for ids, recordings, _ in a.used])
+        flat = (np.arange(len(a.ids))[:, None] * ROUGH_BINS + bins)[open_]
+        counts = np.bincount(flat, minlength=len(a.ids) * ROUGH_BINS).reshape(-1, ROUGH_BINS)
+        above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
+        row, column = np.nonzero((counts > 0) & (above < self.shortlist))
+        return [a.ids[row].tolist(), column.astype(np.int32), counts[row, column].astype(np.int64)]
+
+
+class Chain(Worker):
+    """Second pass of a step: the best row above the cut, and all rows of the bin that the cut lies in."""
+
+    names = ["request_id", "track_id", "rough", "score", "sure"]
+
+    def __init__(self, cands, scope, vibe_lock, dialect):
+        self.scope, self.vibe_lock, self.dialect = scope, vibe_lock, dialect
+        super().__init__(cands)
+        self.index_used()
+
+    def exact(self, prev: Rows, anchor: Rows, p):
+        """(rough, score before artists): matrices of requests and candidates."""
+        genre, prev_genre, here, origin = (p[:, i][:, None] for i in range(4))
         exact, tempo, key = handoff_score(prev, self.c, here, origin, prev_genre, self.dialect)
-        if self.dialect == "classic":
-            rough = 0.50 * tempo + 0.32 * key + 0.18 * here
-        else:
-            rough = 0.47 * tempo + 0.30 * key + 0.13 * here + 0.10 * genre
+        rough = rough_score(tempo, key, here, genre, self.dialect)
         lyrics = lyric(anchor, self.c) if self.dialect == "hosted" else np.full(exact.shape, np.nan)
         mood, _ = vibe(anchor, self.c, self.dialect, lyrics)
         if self.vibe_lock:
             exact = exact * (0.58 + 0.42 * mood)
-        exact = exact * (0.88 + 0.12 * genre if self.scope == "open" else 0.60 + 0.40 * genre)
-        out = ([], [], [], [])
-        for row, (ids, recordings, names) in enumerate(a.used):
-            columns = np.flatnonzero(self.free(ids, recordings))
-            columns = columns[np.argsort(-rough[row, columns], kind="stable")][:self.shortlist]
-            value = np.where(self.repeated(names)[columns], exact[row, columns] * 0.62, exact[row, columns])
-            out[0].extend([a.ids[row]] * len(columns))
-            out[1].extend(self.c.ids[columns])
-            out[2].extend(rough[row, columns])
-            out[3].extend(value)
-        return list(out)
+        return rough, exact * (0.88 + 0.12 * genre if self.scope == "open" else 0.60 + 0.40 * genre)
+
+    def score(self, a: Rows):
+        prev, anchor = second(a, a.x.shape[1] // 2, len(TEXTS))
+        rough, exact = self.exact(prev, anchor, a.p)
+        bins, cut = rough_bins(rough), a.p[:, 4][:, None]
+        open_ = np.stack([self.free(ids, recordings) for ids, recordings, _ in a.used])
+        again = np.stack([self.repeated(names) for _, _, names in a.used])
+        exact = np.where(again, exact * 0.62, exact)
+        sure = open_ & (bins > cut)
+        best = np.where(sure, exact, -np.inf)
+        best = np.where(best == best.max(1, keepdims=True), rough, -np.inf).argmax(1)  # equal scores: the best rough, then the first id
+        top = np.flatnonzero(sure.any(1))
+        row, column = np.nonzero(open_ & (bins == cut))
+        row, column = np.concatenate([top, row]), np.concatenate([best[top], column])
+        return [a.ids[row].tolist(), self.c.ids[column].tolist(), rough[row, column], exact[row, column], np.arange(len(row)) < len(top)]
 
 
 class Bridge(Worker):
