@@ -9,8 +9,8 @@ from tonearm.plans import load
 from tonearm.plans.registry import ORACLE, QUERIES
 
 load()
-# long iterative reports: covered by test_recommend.py
-SLOW = {"q_sound_bridge", "q_select_baseline", "q_item_factors", "q_transition_plan_full", "q_transition_chain"}
+# no check SQL: covered by other tests
+SLOW = {"q_item_factors", "q_transition_plan_full"}
 
 
 @pytest.fixture(scope="module")

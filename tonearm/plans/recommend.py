@@ -180,7 +180,7 @@ def q_diversify(c):
 
 # --- transition runs and bridges ---------------------------------------------------------------
 from tonearm.operators import chain as ch  # noqa: E402
-from tonearm.plans.pairs import handoff_parts, transition_sql  # noqa: E402
+from tonearm.plans.pairs import HANDOFF_LIST, HANDOFF_REASONS, handoff_parts, transition_sql  # noqa: E402
 
 STEP = {"step_pairs": f"""
 SELECT *, {o.vibe_of('v1', 'v2', 'v3', 'lyr_sim')} AS vibe_sim FROM (
@@ -201,7 +201,36 @@ def q_transition_step1(c):
     return out.select("anchor_id", "track_id", r6("rough"), r6("score"))
 
 
-@query("q_transition_chain")
+def _lead(pairs: str) -> str:
+    """Pairs with ``lead``: the transition score before the style of the run's anchor counts."""
+    base = ("CASE WHEN lyr_sim IS NULL THEN 0.31::DOUBLE*tempo+0.27::DOUBLE*harm+0.17::DOUBLE*tone+0.11::DOUBLE*energy_sim+0.14::DOUBLE*vibe_sim "
+            "ELSE 0.29::DOUBLE*tempo+0.25::DOUBLE*harm+0.16::DOUBLE*tone+0.10::DOUBLE*energy_sim+0.12::DOUBLE*vibe_sim+0.08::DOUBLE*lyr_sim END")
+    return f"""SELECT *, ({base}) * (0.80::DOUBLE + 0.12::DOUBLE * here + 0.08::DOUBLE * genre) AS lead FROM (
+  SELECT *, {o.vibe_of('v1', 'v2', 'v3', 'lyr_sim')} AS vibe_sim FROM (
+   SELECT a.track_id AS prev, b.track_id, b.playable, b.ident, b.artist_key, sp.sim AS here, gp.genre AS genre, {handoff_parts()}
+   FROM {pairs} JOIN style_pair sp ON sp.s1 = a.style AND sp.s2 = b.style
+   JOIN genre_pair gp ON gp.p1 = a.prim AND gp.u1 = a.sub AND gp.p2 = b.prim AND gp.u2 = b.sub))"""
+
+
+def chain_views(steps: int) -> dict[str, str]:
+    """The runs step by step: run_s0 is the start, run_s1.. hold what was picked."""
+    views = {"hops": _lead(ALL), "run_s0": "SELECT track_id AS anchor_id, track_id AS prev, [track_id] AS ids, [ident] AS idents, [artist_key] AS arts FROM lib"}
+    for i in range(1, steps + 1):
+        views[f"run_c{i}"] = f"""SELECT s.anchor_id, s.prev, s.ids, s.idents, s.arts, h.track_id, h.ident, h.artist_key, 0.47::DOUBLE * h.tempo + 0.30::DOUBLE * h.keyc + 0.13::DOUBLE * h.here + 0.10::DOUBLE * t.genre AS rough,
+  {o.clip('h.lead * (0.92::DOUBLE + 0.08::DOUBLE * t.here)')} * (0.58::DOUBLE + 0.42::DOUBLE * t.vibe_sim) * (0.60::DOUBLE + 0.40::DOUBLE * t.genre)
+   * CASE WHEN list_contains(s.arts, h.artist_key) THEN 0.62::DOUBLE ELSE 1 END AS score
+ FROM run_s{i - 1} s JOIN hops h ON h.prev = s.prev JOIN hops t ON t.prev = s.anchor_id AND t.track_id = h.track_id
+ WHERE h.playable AND t.genre >= 0.10 AND NOT list_contains(s.ids, h.track_id) AND NOT list_contains(s.idents, h.ident)
+ QUALIFY row_number() OVER (PARTITION BY s.anchor_id ORDER BY rough DESC, h.track_id) <= 520"""
+        views[f"run_s{i}"] = f"""SELECT anchor_id, track_id AS prev, list_append(ids, track_id) AS ids, list_append(idents, ident) AS idents, list_append(arts, artist_key) AS arts,
+  prev AS prev_id, score, {i} AS step FROM run_c{i} QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, rough DESC, track_id) = 1"""
+    views["runs_of"] = " UNION ALL ".join(f"SELECT anchor_id, step, prev_id, prev AS track_id, score FROM run_s{i}" for i in range(1, steps + 1))
+    return views
+
+
+@query("q_transition_chain", views=chain_views(5), sql=f"""
+SELECT anchor_id, step, prev_id, track_id, round(score, 6) AS score, {HANDOFF_REASONS} AS reasons, beats || ' · ' || keys AS transition_note
+FROM (SELECT r.*, h.beats, h.keys, {HANDOFF_LIST} AS rs FROM runs_of r JOIN hops h ON h.prev = r.prev_id AND h.track_id = r.track_id)""")
 def q_transition_chain(c):
     """Five-step run of every analysed track with notes."""
     out = ch.transition_chain(anchors(c), c.prepared, k=5, themes=CHECK_THEMES, blocked=c.blocks)
@@ -239,7 +268,36 @@ def q_bridge_step1(c):
     return out.select("anchor_id", "destination_id", "track_id", r6("score"))
 
 
-@query("q_sound_bridge")
+def bridge_views(steps: int = 3) -> dict[str, str]:
+    """The bridges step by step; ``home`` is the score from a track to a destination."""
+    views = {"br_req": BRIDGE["br_req"], "ways": _lead("lib a JOIN lib b ON a.track_id <> b.track_id"),
+             "home": f"""SELECT w.prev AS track_id, w.track_id AS destination_id, {o.clip("w.lead * (0.92::DOUBLE + 0.08::DOUBLE * CASE WHEN d.style = '' THEN 0.25 ELSE 1.0 END::DOUBLE)")} AS score
+               FROM ways w JOIN lib d ON d.track_id = w.track_id""",
+             "br_s0": """SELECT q.anchor_id, q.destination_id, a.track_id AS prev, [a.track_id, d.track_id] AS ids, [a.ident, d.ident] AS idents, [a.artist_key, d.artist_key] AS arts,
+               a.energy AS e0, d.energy AS e1, a.brightness AS l0, d.brightness AS l1
+               FROM br_req q JOIN lib a ON a.track_id = q.anchor_id AND a.playable JOIN lib d ON d.track_id = q.destination_id AND d.playable"""}
+    for i in range(1, steps + 1):
+        p, w = i / 4, 0.22 + i / 4 * 0.46
+        views[f"br_s{i}"] = f"""SELECT anchor_id, destination_id, track_id AS prev, list_append(ids, track_id) AS ids, list_append(idents, ident) AS idents, list_append(arts, artist_key) AS arts,
+   e0, e1, l0, l1, prev AS prev_id, total AS score, {i} AS step FROM (
+  SELECT s.*, c.track_id, c.ident, c.artist_key, (0.84::DOUBLE * ({o.clip('l.lead * (0.92::DOUBLE + 0.08::DOUBLE * t.sim)')} * {1 - w}::DOUBLE + h.score * {w}::DOUBLE)
+    + 0.10::DOUBLE * exp(-abs(c.energy - (s.e0 * {1 - p}::DOUBLE + s.e1 * {p}::DOUBLE)) / 18::DOUBLE)
+    + 0.06::DOUBLE * exp(-abs(c.brightness - (s.l0 * {1 - p}::DOUBLE + s.l1 * {p}::DOUBLE)) / 0.24::DOUBLE))
+    * CASE WHEN list_contains(s.arts, c.artist_key) THEN 0.68::DOUBLE ELSE 1 END AS total
+  FROM br_s{i - 1} s JOIN lib a ON a.track_id = s.anchor_id JOIN lib c ON c.playable AND NOT list_contains(s.idents, c.ident) AND NOT list_contains(s.ids, c.track_id)
+  JOIN ways l ON l.prev = s.prev AND l.track_id = c.track_id JOIN home h ON h.track_id = c.track_id AND h.destination_id = s.destination_id
+  JOIN style_pair t ON t.s1 = a.style AND t.s2 = c.style)
+ QUALIFY row_number() OVER (PARTITION BY anchor_id, destination_id ORDER BY total DESC, track_id) = 1"""
+    picks = " UNION ALL ".join(f"SELECT anchor_id, destination_id, step, prev_id, prev AS track_id, score FROM br_s{i}" for i in range(1, steps + 1))
+    views["bridges"] = f"""{picks} UNION ALL SELECT b.anchor_id, b.destination_id, {steps + 1}, b.prev, b.destination_id, {o.clip('w.lead * (0.92::DOUBLE + 0.08::DOUBLE * t.sim)')}
+     FROM br_s{steps} b JOIN ways w ON w.prev = b.prev AND w.track_id = b.destination_id JOIN lib a ON a.track_id = b.anchor_id JOIN lib d ON d.track_id = b.destination_id
+     JOIN style_pair t ON t.s1 = a.style AND t.s2 = d.style"""
+    return views
+
+
+@query("q_sound_bridge", views=bridge_views(), sql="""
+SELECT r.anchor_id, r.destination_id, r.step, r.prev_id, r.track_id, round(r.score, 6) AS score, w.beats || ' · ' || w.keys AS transition_note
+FROM bridges r JOIN ways w ON w.prev = r.prev_id AND w.track_id = r.track_id""")
 def q_sound_bridge(c):
     """Full bridges: three intermediates, then the destination."""
     out = ch.sound_bridge(bridge_requests(c), c.prepared, themes=CHECK_THEMES, blocked=c.blocks)
@@ -247,7 +305,9 @@ def q_sound_bridge(c):
     return told.select("anchor_id", "destination_id", "step", "prev_id", "track_id", r6("score"), "transition_note")
 
 
-@query("q_select_baseline")
+@query("q_select_baseline", views={**chain_views(5), **{f"top_{m}": mode_sql(m) for m in ("similar", "rhythm", "timbre")}}, sql="""
+SELECT track_id FROM lib WHERE playable AND (track_id IN (SELECT track_id FROM top_similar) OR track_id IN (SELECT track_id FROM top_rhythm)
+  OR track_id IN (SELECT track_id FROM top_timbre) OR track_id IN (SELECT track_id FROM runs_of) OR track_id IN (SELECT anchor_id FROM run_s0))""")
 def q_select_baseline(c):
     """Playable tracks that any mode recommends for any anchor (what a first learned index should cover)."""
     lists = [rec.top_lists(anchors(c), c.prepared, m, k=12, themes=CHECK_THEMES, blocked=c.blocks).select("track_id")
