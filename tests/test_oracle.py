@@ -10,7 +10,7 @@ from tonearm.plans.registry import ORACLE, QUERIES
 
 load()
 # no check SQL: covered by other tests
-SLOW = {"q_item_factors", "q_transition_plan_full"}
+SLOW = {"q_item_factors"}
 
 
 @pytest.fixture(scope="module")
