@@ -10,6 +10,7 @@ binary search and compare the stored strings, so a digest collision decides
 nothing.  It is written to the shared folder and sent with ``addFile``; rules of
 more than ``max_bytes`` are joined instead.
 
+A rule without a host (``/x``) fits nothing.
 Null urls and urls without ``://`` have an empty host and path, fit no rule and
 get the default verdict.  Repeated rows are judged each; an empty rule table
 gives every row the default.
@@ -83,11 +84,12 @@ class DigestArray:
 
 
 def split_rules(rules: DataFrame) -> DataFrame:
-    """rule, rule_host, rule_path, blocks from rows (rule, verdict); null rules are left out."""
+    """rule, rule_host, rule_path, blocks from rows (rule, verdict); null rules and those without a host are left out."""
     cut = F.instr("rule", "/")
     return (rules.filter(F.col("rule").isNotNull()).groupBy("rule").agg(F.max((F.col("verdict") == "block").cast("int")).alias("blocks"))
             .withColumn("rule_host", F.when(cut > 0, F.substring(F.col("rule"), F.lit(1), cut - 1)).otherwise(F.col("rule")))
-            .withColumn("rule_path", F.when(cut > 0, F.substring(F.col("rule"), cut, F.length("rule"))).otherwise(F.lit(""))))
+            .withColumn("rule_path", F.when(cut > 0, F.substring(F.col("rule"), cut, F.length("rule"))).otherwise(F.lit("")))
+            .filter("rule_host <> ''"))
 
 
 def _write_shared(spark, data: bytes) -> str:
