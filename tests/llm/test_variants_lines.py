@@ -219,3 +219,32 @@ def test_whitening_of_little(spark):
     assert len(flat) == 9 and {r["component"] for r in flat} == {1} and flat[0]["explained"] == pytest.approx(1)
     wide = whitening.whiten(spark.createDataFrame([(1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 1.0])], kind)).collect()
     assert {r["deviation"] for r in wide} >= {None} and all(math.isfinite(r["whitened"]) for r in wide)
+
+
+def test_words_of_the_check_sql(spark, tmp_path):
+    """Only the six white-space characters part words, in the code and in its SQL."""
+    import duckdb
+
+    from tonearm.llm import substrings
+    passage = "a\x0bb\x0cc\rd\te\nf g\x85h\xa0i " + " ".join(f"w{i}" for i in range(20))
+    frame = spark.createDataFrame([(1, passage), (2, "x " + passage.replace("\x0b", "\r")), (3, "\r\x0c"), (4, None)], DOC)
+    frame.write.parquet(str(tmp_path / "t"))
+    want = duckdb.execute(f"WITH {substrings.repeats_sql('documents')} SELECT doc_id, n_words, n_removed, sha256(kept) FROM cut".replace(
+        "FROM documents", f"FROM read_parquet('{tmp_path}/t/*.parquet')")).fetchall()
+    got = substrings.substring_report(frame).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sorted(want)[0][1] == 27
+
+
+def test_signs_are_no_letters():
+    from tonearm.llm import language
+    assert language.text_words("½ ② ³ 42 _ Ⅷ") == []
+    assert language.text_words("Ein½mal naïve 漢字 ǅ") == ["ein", "mal", "naïve", "漢字", "ǆ"]
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_rules_without_a_host(spark, limit):
+    from tonearm.llm import urls
+    pages = spark.createDataFrame([(1, "http:///x/1"), (2, "http://a.b./x/1"), (3, "http://b/x"), (4, None)], "page_id long, url string")
+    rules = spark.createDataFrame([("/x", "block"), ("b/x", "block"), ("", "block")], "rule string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, rules, max_bytes=limit).collect()}
+    assert got == {1: (None, "allow"), 2: (None, "allow"), 3: ("b/x", "block"), 4: (None, "allow")}

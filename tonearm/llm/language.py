@@ -43,8 +43,10 @@ FLUSH_WORDS = 200_000
 CACHE_WORDS = 200_000
 CACHE_GRAMS = 200_000
 START, END = "\x02", "\x03"
+#: Signs like fractions and circled digits, which ``\\w`` takes for parts of words; there are none above.
+_SIGNS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: Runs of letters; a longer run is read in pieces.
-LETTERS = re.compile(r"[^\W\d_]{1,40}")
+LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]{{1,40}}")
 UNKNOWN = "und"
 BINS, BIN_WIDTH = 200, 0.02
 REJECT = 0.999
