@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tonearm.functions import taxonomy as tx, text
 from tonearm.operators import catalogue as cat
 from tonearm.plans import oracle as o
 from tonearm.plans.registry import query, r6
+from tonearm.session import checkpoint_dir
 from tonearm.sources.adapters import GENRES
+from tonearm.sources.versions import KeyedTable
 
 NUM = "CAST(substring(track_id, 7) AS BIGINT)"
 TRAINING = {"training": f"""
@@ -194,6 +198,19 @@ def q_upsert(c):
     return cat.upsert(rows, changes, ["track_id"]).select("track_id", r6("bpm"), "version")
 
 
+@query("q_upsert_stored", sql="""
+SELECT track_id, round(CASE WHEN tonal_strength > 0.6 THEN bpm + 1 ELSE bpm END, 6) AS bpm, CAST(CASE WHEN tonal_strength > 0.6 THEN 2 ELSE 1 END AS BIGINT) AS version FROM fp
+UNION ALL SELECT 'new-' || track_id, round(bpm, 6), CAST(1 AS BIGINT) FROM fp WHERE tonal_strength <= 0.02""")
+def q_upsert_stored(c):
+    """The same change and some new rows as upserts of a stored table, which write only the buckets they touch."""
+    rows = c.fingerprints.select("track_id", F.col("profile.bpm").alias("bpm"), F.col("profile.tonal_strength").alias("tonal"),
+                                 F.lit(1).cast("bigint").alias("version"))
+    table = KeyedTable.create(rows, f"{checkpoint_dir(c.spark)}/fingerprints-{uuid.uuid4().hex}", ["track_id"])
+    table.upsert(rows.filter("tonal <= 0.02").withColumn("track_id", F.concat(F.lit("new-"), "track_id")))
+    table.upsert(rows.filter("tonal > 0.6").withColumns({"bpm": F.col("bpm") + 1, "version": F.lit(2).cast("bigint")}))
+    return table.read().select("track_id", r6("bpm"), "version")
+
+
 @query("q_failure_ledger", sql=f"""
 SELECT track_id, CAST(2 + {NUM} % 3 AS BIGINT) AS attempts, substring('retry failed: ' || title || repeat('x', 500), 1, 400) AS last_error, CAST(2 AS BIGINT) AS updated_at
 FROM tracks WHERE preview_url IS NULL""")

@@ -1,4 +1,8 @@
-"""Streaming form of the listener tables (file source, availableNow or continuous triggers)."""
+"""Streaming form of the listener tables (file source, availableNow or continuous triggers).
+
+Results are written per epoch and folded into snapshots (``sources.versions``), so the number
+of files does not grow with the number of epochs.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from tonearm import schemas
 from tonearm.operators.catalogue import last_by
 from tonearm.operators.listeners import decode_feedback
 from tonearm.session import checkpoint_dir
+from tonearm.sources.versions import FoldedEpochs
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -24,23 +29,18 @@ def new_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def run_available(df: DataFrame, mode: str, write, base: str) -> str:
-    """Drain what is there now; returns the folder that ``write(batch, epoch, folder)`` filled.
+def run_available(df: DataFrame, mode: str, newest, base: str, fold: int = 8) -> DataFrame:
+    """Drain what is there now; returns the rows that count, with their epoch.
 
     ``base`` (a shared folder that the caller names) holds the query's state and results: a later
-    call with the same ``base`` goes on where this one stopped, and a repeated epoch overwrites its
-    own output.
+    call with the same ``base`` goes on where this one stopped.  ``newest(rows)`` keeps of the rows of
+    several epochs those that still count.
     """
-    out = f"{base.rstrip('/')}/out"
+    result = FoldedEpochs(df.sparkSession, f"{base.rstrip('/')}/out", newest, fold)
     query = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/state").trigger(availableNow=True)
-             .foreachBatch(lambda batch, epoch: write(batch, epoch, out)).start())
+             .foreachBatch(result.write).start())
     query.awaitTermination()
-    return out
-
-
-def write_epoch(batch: DataFrame, epoch: int, folder: str) -> None:
-    """Idempotent sink: every epoch owns one partition folder."""
-    batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    return result.read()
 
 
 def stream_taste(events: DataFrame) -> DataFrame:
@@ -55,11 +55,11 @@ def stream_taste(events: DataFrame) -> DataFrame:
     return flags.groupBy("user_id", "track_id").agg(F.max("liked").alias("liked"), F.max("disliked").alias("disliked"))
 
 
-def taste_now(events: DataFrame, base: str | None = None) -> DataFrame:
+def taste_now(events: DataFrame, base: str | None = None, fold: int = 8) -> DataFrame:
     """Run the taste stream over what is available and return the current table."""
-    folder = run_available(stream_taste(events), "update", write_epoch, base or new_folder(events.sparkSession))
-    rows = events.sparkSession.read.parquet(folder)
-    return last_by(rows, ["user_id", "track_id"], ["epoch"]).drop("epoch").filter("liked OR disliked")
+    newest = lambda rows: last_by(rows, ["user_id", "track_id"], ["epoch"])
+    rows = run_available(stream_taste(events), "update", newest, base or new_folder(events.sparkSession), fold)
+    return rows.drop("epoch").filter("liked OR disliked")
 
 
 LIST_STATE = "track_ids array<string>, reasons array<string>, stamps array<bigint>, events array<bigint>"
@@ -94,10 +94,11 @@ def stream_feedback(events: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def feedback_now(events: DataFrame, limit: int = 100, base: str | None = None) -> DataFrame:
-    folder = run_available(stream_feedback(events, limit), "update", write_epoch, base or new_folder(events.sparkSession))
-    rows = events.sparkSession.read.parquet(folder)
-    newest = rows.groupBy("user_id").agg(F.max("epoch").alias("epoch"))
-    return rows.join(newest, ["user_id", "epoch"], "left_semi").drop("epoch")
+    def newest(rows):
+        last = rows.groupBy("user_id").agg(F.max("epoch").alias("epoch"))
+        return rows.join(last, ["user_id", "epoch"], "left_semi")
+
+    return run_available(stream_feedback(events, limit), "update", newest, base or new_folder(events.sparkSession)).drop("epoch")
 
 
 def stream_status(landed: DataFrame) -> DataFrame:
@@ -107,9 +108,8 @@ def stream_status(landed: DataFrame) -> DataFrame:
 
 def status_now(landed: DataFrame, tracks: DataFrame, base: str | None = None) -> DataFrame:
     """Index status (indexed, total, remaining, failures) from the stream of landed rows."""
-    folder = run_available(stream_status(landed), "complete", write_epoch, base or new_folder(landed.sparkSession))
-    rows = landed.sparkSession.read.parquet(folder)
-    latest = rows.groupBy("kind").agg(F.max_by("n", "epoch").alias("n"))
+    newest = lambda rows: last_by(rows, ["kind"], ["epoch"])
+    latest = run_available(stream_status(landed), "complete", newest, base or new_folder(landed.sparkSession))
     pick = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
     one = latest.agg(pick("indexed").alias("indexed"), pick("failed").alias("failures"))
     both = one.crossJoin(F.broadcast(tracks.agg(F.count("*").alias("total"))))  # one row beside one row
