@@ -167,6 +167,24 @@ def top_k(scores, k):
     return np.argsort(-scores, axis=1, kind="stable")[:, :k]
 
 
+def learned_pair(a, c, dims, moods, strength):
+    """(factor, scaled sound similarity, whether both sides are indexed) of anchors and candidates by learned sound and mood."""
+    sound_at, mood_at = slice(-dims - moods, -moods), slice(-moods, None)
+    own = scaled_sound(a, c, sound_at)
+    both = indexed(a)[:, None] & indexed(c)[None, :]
+    gap = np.abs(a[:, mood_at][:, None, :] - c[:, mood_at][None, :, :]).sum(axis=2) if both.any() else np.zeros(both.shape)
+    factor = ((1 - strength) + strength * (0.35 + 1.10 * own)) * (0.72 + 0.28 * clip01(1 - gap / 2))
+    return np.where(both, factor, 1.0), own, both
+
+
+def scaled_sound(a, c, sound_at):
+    return clip01((np.clip(a[:, sound_at] @ c[:, sound_at].T, -1, 1) - 0.35) / 0.65)
+
+
+def indexed(x):
+    return ~np.isnan(x[:, -1])
+
+
 def best_first(scores, k):
     """For each row the columns of its k best scores and of all that equal the last of them, best first; ties keep column order."""
     if scores.shape[1] <= 2 * k:
@@ -290,14 +308,8 @@ class Recommend(Worker):
         """Multiplier from learned sound, predicted mood and explicit feedback."""
         dims, moods, sad, strength = self.learned
         sound_at, mood_at = slice(-dims - moods, -moods), slice(-moods, None)
-        known = lambda x: ~np.isnan(x[:, -1])
-        c = self.c.x
-        scaled = lambda x: clip01((np.clip(x[:, sound_at] @ c[:, sound_at].T, -1, 1) - 0.35) / 0.65)
-        both = known(a.x)[:, None] & known(c)[None, :]
-        gap = np.abs(a.x[:, mood_at][:, None, :] - c[:, mood_at][None, :, :]).sum(axis=2) if both.any() else np.zeros(both.shape)
-        own = scaled(a.x)
-        factor = ((1 - strength) + strength * (0.35 + 1.10 * own)) * (0.72 + 0.28 * clip01(1 - gap / 2))
-        factor = np.where(both, factor, 1.0)
+        known, c = indexed, self.c.x
+        factor, own, _ = learned_pair(a.x, c, dims, moods, strength)
         listed = sorted(self.feedback, key=lambda f: f[0])
         direct = {}
         for _, track, reason, _ in listed:
@@ -424,8 +436,8 @@ class Chain(Worker):
 
     names = ["request_id", "track_id", "rough", "score", "sure"]
 
-    def __init__(self, cands, scope, vibe_lock, dialect):
-        self.scope, self.vibe_lock, self.dialect = scope, vibe_lock, dialect
+    def __init__(self, cands, scope, vibe_lock, dialect, learned=None):
+        self.scope, self.vibe_lock, self.dialect, self.learned = scope, vibe_lock, dialect, learned
         super().__init__(cands)
         self.index_used()
 
@@ -440,6 +452,13 @@ class Chain(Worker):
             exact = exact * (0.58 + 0.42 * mood)
         return rough, exact * (0.88 + 0.12 * genre if self.scope == "open" else 0.60 + 0.40 * genre)
 
+    def learned_factor(self, prev: Rows, anchor: Rows):
+        """Learned sound and mood of anchor and candidate, and how the previous track's sound flows into it."""
+        dims, moods, strength = self.learned
+        factor, _, both = learned_pair(anchor.x, self.c.x, dims, moods, strength)
+        flow = scaled_sound(prev.x, self.c.x, slice(-dims - moods, -moods))
+        return np.where(both & indexed(prev.x)[:, None], factor * (0.94 + 0.06 * flow), factor)
+
     def score(self, a: Rows):
         prev, anchor = second(a, a.x.shape[1] // 2, len(TEXTS))
         rough, exact = self.exact(prev, anchor, a.p)
@@ -447,6 +466,8 @@ class Chain(Worker):
         open_ = np.stack([self.free(ids, recordings) for ids, recordings, _ in a.used])
         again = np.stack([self.repeated(names) for _, _, names in a.used])
         exact = np.where(again, exact * 0.62, exact)
+        if self.learned is not None:
+            exact = clip01(exact * self.learned_factor(prev, anchor))
         sure = open_ & (bins > cut)
         best = np.where(sure, exact, -np.inf)
         best = np.where(best == best.max(1, keepdims=True), rough, -np.inf).argmax(1)  # equal scores: the best rough, then the first id

@@ -212,14 +212,14 @@ def _lead(pairs: str) -> str:
    JOIN genre_pair gp ON gp.p1 = a.prim AND gp.u1 = a.sub AND gp.p2 = b.prim AND gp.u2 = b.sub))"""
 
 
-def chain_views(steps: int) -> dict[str, str]:
-    """The runs step by step: run_s0 is the start, run_s1.. hold what was picked."""
+def chain_views(steps: int, learned: tuple[str, str] = ("", "")) -> dict[str, str]:
+    """The runs step by step: run_s0 is the start, run_s1.. hold what was picked; ``learned`` are a factor and its joins."""
     views = {"hops": _lead(ALL), "run_s0": "SELECT track_id AS anchor_id, track_id AS prev, [track_id] AS ids, [ident] AS idents, [artist_key] AS arts FROM lib"}
     for i in range(1, steps + 1):
         views[f"run_c{i}"] = f"""SELECT s.anchor_id, s.prev, s.ids, s.idents, s.arts, h.track_id, h.ident, h.artist_key, 0.47::DOUBLE * h.tempo + 0.30::DOUBLE * h.keyc + 0.13::DOUBLE * h.here + 0.10::DOUBLE * t.genre AS rough,
   {o.clip('h.lead * (0.92::DOUBLE + 0.08::DOUBLE * t.here)')} * (0.58::DOUBLE + 0.42::DOUBLE * t.vibe_sim) * (0.60::DOUBLE + 0.40::DOUBLE * t.genre)
-   * CASE WHEN list_contains(s.arts, h.artist_key) THEN 0.62::DOUBLE ELSE 1 END AS score
- FROM run_s{i - 1} s JOIN hops h ON h.prev = s.prev JOIN hops t ON t.prev = s.anchor_id AND t.track_id = h.track_id
+   * CASE WHEN list_contains(s.arts, h.artist_key) THEN 0.62::DOUBLE ELSE 1 END {learned[0]} AS score
+ FROM run_s{i - 1} s JOIN hops h ON h.prev = s.prev JOIN hops t ON t.prev = s.anchor_id AND t.track_id = h.track_id {learned[1]}
  WHERE h.playable AND t.genre >= 0.10 AND NOT list_contains(s.ids, h.track_id) AND NOT list_contains(s.idents, h.ident)
  QUALIFY row_number() OVER (PARTITION BY s.anchor_id ORDER BY rough DESC, h.track_id) <= 520"""
         views[f"run_s{i}"] = f"""SELECT anchor_id, track_id AS prev, list_append(ids, track_id) AS ids, list_append(idents, ident) AS idents, list_append(arts, artist_key) AS arts,
