@@ -43,10 +43,10 @@ FLUSH_WORDS = 200_000
 CACHE_WORDS = 200_000
 CACHE_GRAMS = 200_000
 START, END = "\x02", "\x03"
-#: Signs like fractions and circled digits, which ``\\w`` takes for parts of words; there are none above.
-_SIGNS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: Runs of letters; a longer run is read in pieces.
-LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]{{1,40}}")
+LETTERS = re.compile(r"[^\W\d_]{1,40}")
+#: Signs like fractions and circled digits, which ``LETTERS`` would take for letters; there are none above.
+SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 UNKNOWN = "und"
 BINS, BIN_WIDTH = 200, 0.02
 REJECT = 0.999
@@ -78,7 +78,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         words = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words[lang].update(LETTERS.findall(text.lower()))
+                words[lang].update(text_words(text))
                 if len(words[lang]) > FLUSH_WORDS:
                     yield from emit({lang: words.pop(lang)})
         yield from emit(words)
@@ -277,8 +277,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         run, f"doc_id {kind}, lang string, fold long, guess string, entropy double, margin double")
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters of a lower-case text."""
+    if not text.isascii() and SIGNS.search(text):
+        text = SIGNS.sub(" ", text)
+    return LETTERS.findall(text)
+
+
 def text_words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return letters(text.lower()) if text else []
 
 
 def guesses(model: Model, texts: list[list[str]]):

@@ -59,7 +59,7 @@ def letter_runs(words: list[str]) -> list[str]:
         if len(w) <= PIECE and w.isalpha():
             out.append(w)
         else:
-            out += language.LETTERS.findall(w)
+            out += language.letters(w)
     return out
 
 
