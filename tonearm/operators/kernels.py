@@ -228,8 +228,10 @@ class Recommend(Worker):
 
     names = ["request_id", "track_id", "identity", "artist_key", "hybrid_score", "rhythm", "timbre", "harmony"]
 
-    def __init__(self, cands, mode, k, weights, scope, vibe_lock, dialect, lyric_weight, learned=None):
-        self.learned = learned
+    def __init__(self, cands, mode, k, weights, scope, vibe_lock, dialect, lyric_weight, learned=None, inside=False):
+        self.learned, self.inside = learned, inside
+        if inside:
+            self.names = [*self.names, "inside"]
         self.mode, self.k, self.weights, self.scope = mode, k, weights, scope
         self.vibe_lock, self.dialect, self.lyric_weight = vibe_lock, dialect, lyric_weight
         super().__init__(cands)
@@ -352,15 +354,16 @@ class Recommend(Worker):
         same = equal(a, self.c, "identity") | (a.s[:, -1][:, None] == self.c.ids[None, :])
         total[same] = -1.0
         out = tuple([] for _ in self.names)
-        for row, columns in enumerate(best_first(total, 6 * self.k)):
-            main, rest, all_seen = self.pick(total[row], columns)
-            if len(main) < self.k and not all_seen:
-                main, rest, _ = self.pick(total[row], np.argsort(-total[row], kind="stable"))
-            chosen = main + rest
-            for column, values in zip(out, ([a.ids[row]] * len(chosen), self.c.ids[chosen], self.identities[chosen],
-                                            self.artists[chosen], total[row, chosen],
-                                            *[part[row, chosen] for part in self.parts])):
-                column.extend(values)
+        lists = [(total, [])] if not self.inside else [(total, [False]), (np.where(indexed(self.c.x)[None, :], total, -1.0), [True])]
+        for values, flag in lists:
+            for row, columns in enumerate(best_first(values, 6 * self.k)):
+                main, rest, all_seen = self.pick(values[row], columns)
+                if len(main) < self.k and not all_seen:
+                    main, rest, _ = self.pick(values[row], np.argsort(-values[row], kind="stable"))
+                chosen = main + rest
+                for column, part in zip(out, ([a.ids[row]] * len(chosen), self.c.ids[chosen], self.identities[chosen], self.artists[chosen],
+                                              values[row, chosen], *[p[row, chosen] for p in self.parts], flag * len(chosen))):
+                    column.extend(part)
         return list(out)
 
 

@@ -9,18 +9,23 @@ from tonearm.limits import MAX_LIST, within
 from tonearm.session import broadcast_if_small
 
 WORD = r"([\p{L}\p{N}']+)"
+#: Words of a vocabulary up to which texts are filtered before they are cut into rows.
+FILTER_WORDS = 10_000
 
 
 def lyric_features(texts: DataFrame, vocabulary: DataFrame, themes: list[str]) -> DataFrame:
     """Theme counts, sentiment, arousal and confidence of each text.
 
     texts(track_id, text, language), one row per track; vocabulary(word, kind, theme).
-    The whole text is cut into words once; the number of words travels with each,
-    and all counts are combined map-side before the one shuffle.
+    The whole text is cut into words once.  Words that a small vocabulary does not have are
+    dropped inside the row; a large one is joined to all of them.  The number of words travels
+    with each word left, and all counts are combined map-side before the one shuffle.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(1))
     cut = texts.select("track_id", "language", words.alias("all"))
-    tokens = cut.select("track_id", "language", F.size("all").cast("double").alias("words"), F.explode_outer("all").alias("word"))
+    listed = [r["word"] for r in vocabulary.select("word").distinct().limit(FILTER_WORDS + 1).collect()]
+    kept = F.filter("all", lambda w: w.isin(listed)) if len(listed) <= FILTER_WORDS else F.col("all")
+    tokens = cut.select("track_id", "language", F.size("all").cast("double").alias("words"), F.explode_outer(kept).alias("word"))
     known = tokens.join(broadcast_if_small(vocabulary, 256), "word", "left")
     total = lambda kind: F.count_if(F.col("kind") == kind).cast("double").alias(kind)
     theme_counts = [F.count_if((F.col("kind") == "theme") & (F.col("theme") == t)).cast("double").alias(f"t{i}")

@@ -121,9 +121,13 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
               styles: Styles | None = None, themes=None, blocked: DataFrame | None = None,
               candidates: DataFrame | None = None,
               learned: tuple[int, list[str]] | None = None, feedback: DataFrame | None = None, block_rows: int = blocks.BLOCK_ROWS,
-              chunk_rows: int = blocks.CHUNK_ROWS) -> DataFrame:
+              chunk_rows: int = blocks.CHUNK_ROWS, outside: DataFrame | None = None, inside: bool = False) -> DataFrame:
     """Top-k per request: request_id, anchor_id, track_id, rank, hybrid_score and the three parts.
 
+    ``outside`` holds anchors that come with the requests and are not in the library (rows of
+    ``library.prepare``, with ids of their own).  ``inside`` (with ``learned``) gives two lists per request in one
+    pass, of all candidates and of the indexed ones alone, told apart by a column ``inside``.
+
     ``blocked`` is a stored result of ``candidate_blocks`` (of the library or of a part of it).
     taste, averse and seen are (user_id, track_id) tables.  ``learned`` = (dims, mood labels) turns on
     the learned rerank; prepared and blocked then carry the columns of ``with_learned``, and
@@ -131,6 +135,8 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
     """
     if mode not in tx.MODE_WEIGHTS or mode == "transition":
         raise ValueError(f"unknown mode {mode}")
+    if inside and learned is None:
+        raise ValueError("lists inside the index need the learned columns")
     if genre_scope not in SCOPES:
         raise ValueError(f"unknown genre scope {genre_scope}")
     k = within(k, MAX_LIST, "k")
@@ -142,7 +148,7 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
     personal = "user_id" in requests.columns
     group = F.concat(F.lit("u"), F.col("user_id").cast("string")) if personal else F.lit("~")
 
-    anchors = with_lane(prepared)
+    anchors = with_lane(prepared if outside is None else prepared.unionByName(outside))
     asked = requests.join(anchors.withColumnRenamed("track_id", "anchor_id"), "anchor_id")
     pairs = lane_pairs(asked, cands, genre_scope, styles)
     directory = cands.select("lane", "block").distinct()
@@ -178,8 +184,11 @@ def top_lists(requests: DataFrame, prepared: DataFrame, mode: str = "similar", k
         dims, labels = learned
         strength = 0.20 if mode in ("rhythm", "timbre") else 0.42
         sad = labels.index("melancholic") if "melancholic" in labels else None
-        kernel = partial(kernel, learned=(dims, len(labels), sad, strength))
-    local = blocks.run(parts, kernel, TOP_SCHEMA, cells.count)
+        kernel = partial(kernel, learned=(dims, len(labels), sad, strength), inside=inside)
+    local = blocks.run(parts, kernel, f"{TOP_SCHEMA}, inside boolean" if inside else TOP_SCHEMA, cells.count)
+    if inside:
+        listed = local.withColumn("_list", F.concat_ws("\u0001", "request_id", F.col("inside").cast("string")))
+        return requests.join(diversify(listed, "_list", k).drop("_list"), "request_id")
     merged = diversify(local, "request_id", k)
     return requests.join(merged, "request_id")
 
@@ -199,11 +208,11 @@ def diversify(scored: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def describe(top: DataFrame, prepared: DataFrame, mode: str, genre_scope: str = "nearby", dialect: str = "hosted",
-             styles: Styles | None = None) -> DataFrame:
+             styles: Styles | None = None, outside: DataFrame | None = None) -> DataFrame:
     """Add vibe, genre, lyric similarity and reasons to finished lists (at most k rows per request)."""
     styles = styles or Styles(dialect=dialect)
     a, b = acoustic.side("a"), acoustic.side("b")
-    wide = pair_up(top, prepared)
+    wide = pair_up(top, prepared if outside is None else prepared.unionByName(outside))
     lyric = acoustic.lyric_similarity(a, b)
     genre = styles.genre_similarity(a("primary"), a("sub"), b("primary"), b("sub"))
     vibe = acoustic.vibe(a, b, dialect, lyric)
@@ -225,7 +234,7 @@ def recommend(requests: DataFrame, prepared: DataFrame, mode: str = "similar", *
     """Full recommendation rows (scores, parts, reasons) for every request."""
     top = top_lists(requests, prepared, mode, **options)
     return describe(top, prepared, mode, options.get("genre_scope", "nearby"), options.get("dialect", "hosted"),
-                    options.get("styles"))
+                    options.get("styles"), options.get("outside"))
 
 
 def score_pairs(pairs: DataFrame, prepared: DataFrame, mode: str = "similar", weights=None,

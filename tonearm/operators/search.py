@@ -18,8 +18,9 @@ from tonearm.limits import MAX_PAGE, MAX_SEARCH, within
 from tonearm.operators.catalogue import first_by, ranked
 from tonearm.session import materialize
 
-# fixed values: fuzzy search weights and thresholds, local search threshold
+# fixed values: fuzzy search weights and thresholds, local search threshold, letters of a query that the search box takes
 SIMILARITY_FLOOR, WORD_FLOOR, RELEVANCE_FLOOR = 0.16, 0.28, 24.0
+QUERY_LETTERS = 200
 PAGE = 20
 
 
@@ -258,14 +259,15 @@ def search_candidates(queries: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def search_local(tracks: DataFrame, fingerprints: DataFrame, queries: DataFrame, number: int = 1,
-                 size: int = PAGE, genre: str | None = None) -> DataFrame:
+                 size: int = PAGE, genre: str | None = None, query_letters: int = QUERY_LETTERS) -> DataFrame:
     """Relevance search of a query batch with typo correction, one recording once, paged.
 
     queries(query_id, query) -> query_id, track_id, score, position, total, best_score, corrected.
     ``genre``: only tracks with this text in a genre or sound field; spelling is corrected by all tracks.
-    Empty queries return nothing here: ``search_browse`` lists everything.
+    Empty queries return nothing here: ``search_browse`` lists everything.  Of a longer query the first
+    ``query_letters`` letters are searched, as by definition of the search box.
     """
-    cut = queries.select("query_id", F.substring(F.trim("query"), 1, 200).alias("query"))
+    cut = queries.select("query_id", F.substring(F.trim("query"), 1, query_letters).alias("query"))
     fixed = correct_transpositions(cut, vocabulary(tracks)).select(
         "query_id", tx.normalize_search_folded("query").alias("q"), "corrected").filter(F.col("q") != "")
     chosen = filter_category(tracks, fingerprints, genre, "any") if genre else tracks

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 AREAS = ["sources", "catalogue", "search", "pairs", "recommend", "content", "learned", "lyrics_charts", "listeners",
-         "evaluation", "frames", "streams"]
+         "evaluation", "frames", "streams", "classic"]
 
 
 def load() -> None:

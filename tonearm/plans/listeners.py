@@ -163,6 +163,12 @@ def q_bounded_list(c):
         "user_id", "track_id", "replace_key", "event_id", F.col("position").cast("bigint").alias("position"))
 
 
+@query("q_over_limit", sql="SELECT user_id, count(*) AS entries FROM favorites GROUP BY user_id HAVING count(*) > 5")
+def q_over_limit(c):
+    """Listeners whose favourites exceed five entries."""
+    return ls.over_limit(c.favorites, 5)
+
+
 @query("q_preferences", views=LATEST, sql="""
 SELECT user_id, kind, track_id, count(*) AS n FROM (SELECT user_id, 'favorite' AS kind, track_id FROM favorites
  UNION ALL SELECT user_id, 'interaction', track_id FROM interactions

@@ -160,18 +160,18 @@ def rhythm(a="a", b="b"):
               [70, 1, 5, 1, 1, 1], 2.2)
 
 
-def timbre(a="a", b="b"):
+def timbre(a="a", b="b", live=False):
     mf = bs(a, b, [f"mf{i}" for i in range(13)], [180, 90, 70, 60, 55, 50, 45, 42, 40, 38, 36, 34, 32], 1.8)
     pr = bs(a, b, ["brightness", "spectral_flatness", "spectral_contrast", "zero_crossing_rate", "harmonic_ratio",
                    "aggression", "dynamic_range"], [1, 0.35, 35, 0.25, 1, 1, 1], 2.2)
-    return f"(0.55::DOUBLE * {mf} + 0.45::DOUBLE * {pr})"
+    return f"(0.20::DOUBLE * {mf} + 0.80::DOUBLE * {pr})" if live else f"(0.55::DOUBLE * {mf} + 0.45::DOUBLE * {pr})"
 
 
-def harmony(a="a", b="b"):
+def harmony(a="a", b="b", live=False):
     rot = (f"list_max(list_transform({b}.rotations, lambda r: list_dot_product({a}.chroma, r))) "
            f"/ greatest(sqrt({a}.chroma_sq * {b}.chroma_sq), 1e-10)")
     hp = bs(a, b, ["tonal_strength", "harmonic_ratio", "valence"], [1, 1, 1], 1.7)
-    return clip(f"(0.65::DOUBLE * {rot} + 0.35::DOUBLE * {hp})")
+    return clip(f"(0.35::DOUBLE * {rot} + 0.65::DOUBLE * {hp})" if live else f"(0.65::DOUBLE * {rot} + 0.35::DOUBLE * {hp})")
 
 
 def lyric(a="a", b="b"):
@@ -196,6 +196,11 @@ def vibe_parts(a="a", b="b"):
     return acoustic, character
 
 
+def vibe_classic(acoustic, character, title):
+    return clip(f"CASE WHEN {title} IS NULL THEN 0.78::DOUBLE * {acoustic} + 0.22::DOUBLE * {character} "
+                f"ELSE 0.70::DOUBLE * {acoustic} + 0.18::DOUBLE * {character} + 0.12::DOUBLE * {title} END")
+
+
 def vibe_of(acoustic, character, title, lyr):
     sem = f"CASE WHEN {title} IS NOT NULL AND {lyr} IS NOT NULL THEN ({title} + {lyr}) / 2 ELSE coalesce({title}, {lyr}) END"
     return clip(f"CASE WHEN ({sem}) IS NULL THEN 0.78::DOUBLE * {acoustic} + 0.22::DOUBLE * {character} "
@@ -216,14 +221,16 @@ def key_compat(a="a", b="b"):
 
 
 # all pair scores of one pair relation: `pairs` must expose aliases a and b of lib
-def scored_pairs(source: str, extra: str = "", where: str = "") -> str:
-    """SELECT with every similarity part; ``source`` is a FROM clause binding a and b."""
+def scored_pairs(source: str, extra: str = "", where: str = "", live: bool = False, classic: bool = False) -> str:
+    """SELECT with every similarity part; ``source`` is a FROM clause binding a and b; ``live``: a is a live analysis."""
     acoustic, character = vibe_parts()
+    vibe = vibe_classic("v_acoustic", "v_character", "title_sim") if classic else vibe_of("v_acoustic", "v_character", "title_sim", "lyric_sim")
+    lyrics = "CAST(NULL AS DOUBLE)" if classic else lyric()
     return f"""
-SELECT *, {vibe_of('v_acoustic', 'v_character', 'title_sim', 'lyric_sim')} AS vibe
+SELECT *, {vibe} AS vibe
 FROM (SELECT a.track_id AS anchor_id, b.track_id AS track_id, a.ident AS a_ident, b.ident AS b_ident,
   a.artist_key AS a_artist_key, b.artist_key AS b_artist_key, a.prim AS a_prim, b.prim AS b_prim,
-  gp.genre AS genre, {rhythm()} AS rhythm, {timbre()} AS timbre, {harmony()} AS harmony, {lyric()} AS lyric_sim,
+  gp.genre AS genre, {rhythm()} AS rhythm, {timbre(live=live)} AS timbre, {harmony(live=live)} AS harmony, {lyrics} AS lyric_sim,
   {title_match()} AS title_sim, {acoustic} AS v_acoustic, {character} AS v_character, {tempo_gap()} AS tempo_gap,
   a.texture AS a_texture, b.texture AS b_texture, abs(a.aggression - b.aggression) AS aggression_gap,
   a.rhythm_character AS a_rhythm_character, b.rhythm_character AS b_rhythm_character {extra}

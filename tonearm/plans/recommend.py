@@ -59,14 +59,14 @@ OUT = """SELECT anchor_id, track_id, CAST(rank AS BIGINT) AS rank, hybrid_score,
   round(lyric_sim, 6) AS lyric, """ + o.reasons_sql() + " AS reasons"
 
 
-def mode_sql(mode: str, k: int = 12, scope: str = "nearby", vibe_lock: bool = True, lib_filter: str = "") -> str:
+def mode_sql(mode: str, k: int = 12, scope: str = "nearby", vibe_lock: bool = True, lib_filter: str = "", source: str = ALL, live: bool = False) -> str:
     extra = f", {ID_HASH} AS id_hash" if mode == "discover" else ""
     scored = f"""SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {total_sql(mode, scope, vibe_lock)})), 4) + 0.0 AS hybrid_score
-FROM ({o.scored_pairs(ALL, extra)}) WHERE {scope_sql(scope)} {lib_filter}"""
+FROM ({o.scored_pairs(source, extra, live=live)}) WHERE {scope_sql(scope)} {lib_filter}"""
     return f"{OUT} FROM ({diverse_sql(scored, 'anchor_id', k)})"
 
 
-def show(c, top):
+def show(c, top, outside=None):
     """Compare form of finished lists."""
     from tonearm.functions import acoustic
     from tonearm.functions.style import Styles
@@ -76,7 +76,8 @@ def show(c, top):
     genre = Styles().genre_similarity(a("primary"), a("sub"), b("primary"), b("sub"))
     vibe = acoustic.vibe(a, b, lyric=lyric)
     reasons = acoustic.match_reasons(a, b, F.col("harmony"), genre, vibe, lyric)
-    return pair_up(top.drop("identity", "artist_key"), c.prepared).select(
+    known = c.prepared if outside is None else c.prepared.unionByName(outside)
+    return pair_up(top.drop("identity", "artist_key"), known).select(
         "anchor_id", "track_id", F.col("rank").cast("bigint").alias("rank"), "hybrid_score", r6("rhythm"),
         r6("timbre"), r6("harmony"), r6(vibe, "vibe"), r6(genre, "genre"), r6(lyric, "lyric"),
         F.array_join(reasons, " | ").alias("reasons"))
@@ -109,6 +110,19 @@ def q_genre_scopes(c):
     return one("strict", True).unionByName(one("open", False))
 
 
+OUTSIDE = {"outside": "SELECT * REPLACE ('live-' || track_id AS track_id, bpm * 1.05::DOUBLE AS bpm, brightness * 0.9::DOUBLE AS brightness) FROM lib"}
+
+
+@query("q_recommend_outside", views=OUTSIDE, sql=mode_sql("similar", source="outside a JOIN lib b ON a.ident <> b.ident", live=True))
+def q_recommend_outside(c):
+    """Anchors that come with the request: live analyses of every track, a little faster and darker than the stored ones."""
+    live = c.prepared.withColumns({"track_id": F.concat(F.lit("live-"), "track_id"), "bpm": F.col("bpm") * 1.05,
+                                   "brightness": F.col("brightness") * 0.9, "live": F.lit(True)})
+    requests = live.select(F.col("track_id").alias("request_id"), F.col("track_id").alias("anchor_id"))
+    top = rec.top_lists(requests, c.prepared, "similar", k=12, themes=CHECK_THEMES, blocked=c.blocks, outside=live)
+    return show(c, top, live)
+
+
 W3 = tx.MODE_WEIGHTS["similar"]
 USERS = {
     "asks": "SELECT DISTINCT user_id, anchor_track_id AS anchor_id FROM runs WHERE mode = '{mode}' AND anchor_track_id IN (SELECT track_id FROM lib)",
@@ -201,23 +215,29 @@ def q_transition_step1(c):
     return out.select("anchor_id", "track_id", r6("rough"), r6("score"))
 
 
-def _lead(pairs: str) -> str:
+def _lead(pairs: str, classic: bool = False) -> str:
     """Pairs with ``lead``: the transition score before the style of the run's anchor counts."""
+    vibe = o.vibe_classic("v1", "v2", "v3") if classic else o.vibe_of("v1", "v2", "v3", "lyr_sim")
     base = ("CASE WHEN lyr_sim IS NULL THEN 0.31::DOUBLE*tempo+0.27::DOUBLE*harm+0.17::DOUBLE*tone+0.11::DOUBLE*energy_sim+0.14::DOUBLE*vibe_sim "
             "ELSE 0.29::DOUBLE*tempo+0.25::DOUBLE*harm+0.16::DOUBLE*tone+0.10::DOUBLE*energy_sim+0.12::DOUBLE*vibe_sim+0.08::DOUBLE*lyr_sim END")
-    return f"""SELECT *, ({base}) * (0.80::DOUBLE + 0.12::DOUBLE * here + 0.08::DOUBLE * genre) AS lead FROM (
-  SELECT *, {o.vibe_of('v1', 'v2', 'v3', 'lyr_sim')} AS vibe_sim FROM (
+    lead = ("(0.36::DOUBLE*tempo+0.30::DOUBLE*harm+0.20::DOUBLE*tone+0.14::DOUBLE*energy_sim) * (0.78::DOUBLE + 0.22::DOUBLE * here)" if classic else
+            f"({base}) * (0.80::DOUBLE + 0.12::DOUBLE * here + 0.08::DOUBLE * genre)")
+    return f"""SELECT *, {lead} AS lead FROM (
+  SELECT *, {vibe} AS vibe_sim FROM (
    SELECT a.track_id AS prev, b.track_id, b.playable, b.ident, b.artist_key, sp.sim AS here, gp.genre AS genre, {handoff_parts()}
    FROM {pairs} JOIN style_pair sp ON sp.s1 = a.style AND sp.s2 = b.style
    JOIN genre_pair gp ON gp.p1 = a.prim AND gp.u1 = a.sub AND gp.p2 = b.prim AND gp.u2 = b.sub))"""
 
 
-def chain_views(steps: int, learned: tuple[str, str] = ("", "")) -> dict[str, str]:
+def chain_views(steps: int, learned: tuple[str, str] = ("", ""), classic: bool = False) -> dict[str, str]:
     """The runs step by step: run_s0 is the start, run_s1.. hold what was picked; ``learned`` are a factor and its joins."""
-    views = {"hops": _lead(ALL), "run_s0": "SELECT track_id AS anchor_id, track_id AS prev, [track_id] AS ids, [ident] AS idents, [artist_key] AS arts FROM lib"}
+    rough = ("0.50::DOUBLE * h.tempo + 0.32::DOUBLE * h.keyc + 0.18::DOUBLE * h.here" if classic else
+             "0.47::DOUBLE * h.tempo + 0.30::DOUBLE * h.keyc + 0.13::DOUBLE * h.here + 0.10::DOUBLE * t.genre")
+    origin = "0.90::DOUBLE + 0.10::DOUBLE" if classic else "0.92::DOUBLE + 0.08::DOUBLE"
+    views = {"hops": _lead(ALL, classic), "run_s0": "SELECT track_id AS anchor_id, track_id AS prev, [track_id] AS ids, [ident] AS idents, [artist_key] AS arts FROM lib"}
     for i in range(1, steps + 1):
-        views[f"run_c{i}"] = f"""SELECT s.anchor_id, s.prev, s.ids, s.idents, s.arts, h.track_id, h.ident, h.artist_key, 0.47::DOUBLE * h.tempo + 0.30::DOUBLE * h.keyc + 0.13::DOUBLE * h.here + 0.10::DOUBLE * t.genre AS rough,
-  {o.clip('h.lead * (0.92::DOUBLE + 0.08::DOUBLE * t.here)')} * (0.58::DOUBLE + 0.42::DOUBLE * t.vibe_sim) * (0.60::DOUBLE + 0.40::DOUBLE * t.genre)
+        views[f"run_c{i}"] = f"""SELECT s.anchor_id, s.prev, s.ids, s.idents, s.arts, h.track_id, h.ident, h.artist_key, {rough} AS rough,
+  {o.clip(f'h.lead * ({origin} * t.here)')} * (0.58::DOUBLE + 0.42::DOUBLE * t.vibe_sim) * (0.60::DOUBLE + 0.40::DOUBLE * t.genre)
    * CASE WHEN list_contains(s.arts, h.artist_key) THEN 0.62::DOUBLE ELSE 1 END {learned[0]} AS score
  FROM run_s{i - 1} s JOIN hops h ON h.prev = s.prev JOIN hops t ON t.prev = s.anchor_id AND t.track_id = h.track_id {learned[1]}
  WHERE h.playable AND t.genre >= 0.10 AND NOT list_contains(s.ids, h.track_id) AND NOT list_contains(s.idents, h.ident)

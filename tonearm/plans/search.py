@@ -175,6 +175,19 @@ def q_search_browse(c):
     return se.search_browse(c.tracks, c.fingerprints, "Rock", number=2)
 
 
+GENRE_LOCAL = {**LOCAL, "in_genre": BROWSE["browse"].split("QUALIFY")[0].replace("SELECT * FROM (", "SELECT track_id FROM (", 1),
+  "gu": "SELECT * FROM ls WHERE track_id IN (SELECT track_id FROM in_genre) QUALIFY row_number() OVER (PARTITION BY query_id, ident ORDER BY round(score, 6) DESC, analysed DESC, track_id) = 1"}
+
+
+@query("q_search_genre", views=GENRE_LOCAL, sql="""
+SELECT query_id, track_id, round(score, 6) AS score, CAST(position AS BIGINT) AS position, total, corrected FROM (SELECT *,
+ row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, analysed DESC, track_id) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM gu) WHERE position <= 20""")
+def q_search_genre(c):
+    """First page of the relevance search inside one genre."""
+    return se.search_local(c.tracks, c.fingerprints, batch(c), genre="Rock").select(
+        "query_id", "track_id", r6("score"), F.col("position").cast("bigint").alias("position"), "total", "corrected")
+
+
 _ms = f"""SELECT query_id, src, position, track_id, ident, q, {N('title')} AS t, {N('artist')} AS a, analysed, playable FROM ms_rows"""
 MERGE = {"ms_rows": f"""SELECT r.id AS query_id, s.src, i.rank AS position, CASE s.src WHEN 0 THEN i.track_id ELSE 'ext-' || substring(i.track_id, 7) END AS track_id,
    CASE s.src WHEN 0 THEN b.title ELSE upper(b.title) END AS title, b.artist, {N('a.title')} AS q, s.src = 0 AND b.track_id IN (SELECT track_id FROM fp) AS analysed,

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tonearm.operators import library as lib
+from tonearm.plans.catalogue import SUB_VIEWS
 from tonearm.plans.registry import query, r6
 from tonearm.session import checkpoint_dir
 from tonearm.sources import catalogue as src
@@ -123,3 +124,29 @@ SELECT provider_genre, count(*) AS n, count(DISTINCT title) AS titles FROM track
 def q_write_roundtrip(c):
     stored = src.write_table(c.tracks, f"{checkpoint_dir(c.spark)}/tracks-{uuid.uuid4().hex}", "seed_genre")
     return stored.groupBy("provider_genre").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
+
+
+@query("q_index_rows", sql="""
+SELECT l.track_id, len(embedding) AS dims, CAST(list_sum(embedding) AS BIGINT) AS total, round(list_max(mood_scores), 6) AS best_mood, preview_seconds FROM learned l JOIN tracks t ON t.track_id = l.track_id""")
+def q_index_rows(c):
+    """The learned index exported and read again."""
+    path = f"{checkpoint_dir(c.spark)}/index-{uuid.uuid4().hex}"
+    src.export_index(c.learned, c.tracks, path, "m", "r1")
+    total = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return src.read_index(c.spark, path).select("track_id", F.size("embedding").cast("bigint").alias("dims"), total.alias("total"),
+                                                r6(F.array_max("mood_scores"), "best_mood"), "preview_seconds")
+
+
+@query("q_scan_csv", views={**SUB_VIEWS, "sg_plain": """SELECT t.track_id, coalesce(g.s, k.s, s.s, lower(trim(t.provider_genre))) AS subgenre FROM sg_keyed t
+  LEFT JOIN sg_genre g ON g.g = t.gkey LEFT JOIN sg_canon k ON k.g = t.gkey LEFT JOIN sg_seed s ON s.g = t.seed_genre"""}, sql="""
+SELECT 'given' AS kind, track_id, title, artist, CAST(year AS DOUBLE) AS year, preview_url, provider_subgenre FROM tracks
+UNION ALL SELECT 'inferred', t.track_id, title, artist, CAST(year AS DOUBLE), preview_url, p.subgenre FROM tracks t JOIN sg_plain p ON p.track_id = t.track_id""")
+def q_scan_csv(c):
+    """The catalogue as CSV files with and without the sub-genre column."""
+    path = f"{checkpoint_dir(c.spark)}/csv-{uuid.uuid4().hex}"
+    full = c.tracks.drop("theme_pool")
+    for name, frame in (("given", full), ("inferred", full.drop("provider_subgenre"))):
+        frame.write.csv(f"{path}/{name}.csv", header=True)
+    one = lambda name: src.read_catalogue(c.spark, f"{path}/{name}.csv").select(
+        F.lit(name).alias("kind"), "track_id", "title", "artist", F.col("year").cast("double").alias("year"), "preview_url", "provider_subgenre")
+    return one("given").unionByName(one("inferred"))

@@ -19,8 +19,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def read_catalogue(spark: SparkSession, path: str, **taxonomy) -> DataFrame:
-    """Catalogue scan; the sub-genre is inferred when the column is missing."""
-    df = read_table(spark, path, schemas.TRACKS if path.endswith(".csv") else None)
+    """Catalogue scan; the sub-genre is inferred when the column is missing.
+
+    A CSV file may lack columns or have them in another order: its header names them.
+    """
+    schema = None
+    if path.rstrip("/").endswith((".csv", ".csv.gz")):
+        kinds = {f.name: f for f in schemas.TRACKS}
+        names = spark.read.csv(path, header=True, inferSchema=False).columns
+        schema = T.StructType([kinds.get(n, T.StructField(n, T.StringType())) for n in names])
+    df = read_table(spark, path, schema)
     df = df.withColumn("track_id", F.col("track_id").cast("string"))
     if "provider_subgenre" in df.columns:
         return df
@@ -168,6 +176,21 @@ def export_catalogue(tracks: DataFrame, fingerprints: DataFrame, path: str) -> D
     return export_manifest(tracks, fingerprints)
 
 
+def export_index(index: DataFrame, tracks: DataFrame, path: str, model: str, revision: str) -> DataFrame:
+    """Write the rows of a learned index that have a track as gzip JSON and return their one-row manifest."""
+    rows = index.join(tracks.select("track_id").distinct(), "track_id", "left_semi")
+    rows.select("track_id", "embedding", "mood_scores", "preview_seconds").write.mode("overwrite").json(f"{path}/index", compression="gzip")
+    return index_manifest(rows, tracks, model, revision)
+
+
+INDEX = "track_id string, embedding array<int>, mood_scores array<double>, preview_seconds double"
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that ``export_index`` wrote."""
+    return spark.read.schema(INDEX).json(f"{path}/index")
+
+
 def index_manifest(index: DataFrame, tracks: DataFrame, model: str, revision: str) -> DataFrame:
     """indexed / total / failed counts of a learned index."""
     known = tracks.select("track_id").distinct().join(
