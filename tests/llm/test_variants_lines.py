@@ -237,7 +237,8 @@ def test_words_of_the_check_sql(spark, tmp_path):
 
 def test_signs_are_no_letters():
     from tonearm.llm import language
-    assert language.text_words("½ ② ³ 42 _ Ⅷ") == []
+    assert language.text_words("½ ② ³ 42 _ Ⅷ 𝟛 🄋 𐄇") == []
+    assert language.text_words("x𐄇y 𠀀𠀁 𝟛z") == ["x", "y", "𠀀𠀁", "z"]
     assert language.text_words("Ein½mal naïve 漢字 ǅ") == ["ein", "mal", "naïve", "漢字", "ǆ"]
 
 

@@ -45,8 +45,10 @@ CACHE_GRAMS = 200_000
 START, END = "\x02", "\x03"
 #: Runs of letters; a longer run is read in pieces.
 LETTERS = re.compile(r"[^\W\d_]{1,40}")
-#: Signs like fractions and circled digits, which ``LETTERS`` would take for letters; there are none above.
-SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+#: Signs like fractions and circled digits, which ``LETTERS`` would take for letters.  The pattern stays below U+10000, or
+#: ``re`` would go through it sign by sign; above, each character is asked.
+SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+ABOVE = re.compile("[\U00010000-\U0010ffff]")
 UNKNOWN = "und"
 BINS, BIN_WIDTH = 200, 0.02
 REJECT = 0.999
@@ -279,8 +281,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def letters(text: str) -> list[str]:
     """Runs of letters of a lower-case text."""
-    if not text.isascii() and SIGNS.search(text):
-        text = SIGNS.sub(" ", text)
+    if not text.isascii():
+        if SIGNS.search(text):
+            text = SIGNS.sub(" ", text)
+        if ABOVE.search(text):
+            text = ABOVE.sub(lambda m: m[0] if m[0].isalpha() else " ", text)
     return LETTERS.findall(text)
 
 
