@@ -37,7 +37,7 @@ from tonearm.session import materialize
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 18, 16, 8, (1, 2, 3)
 PER_CLASS = 3000
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.01, 1e-5
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 CHUNK_WORDS = 100_000
 SLICE_ROWS = 256
 SCORE_BINS = 400
@@ -78,6 +78,16 @@ class TextFilter:
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.offset = np.zeros(1, np.float32)
+        self._scorer = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_scorer": None}
+
+    def scorer(self, speaker) -> "Scorer":
+        """One for all tasks of a worker: what it knows of words is kept."""
+        if self._scorer is None or self._scorer.speaker is not speaker:
+            self._scorer = Scorer(self, speaker)
+        return self._scorer
 
     def parameters(self) -> list[np.ndarray]:
         return [*self.filters.values(), *self.bias.values(), self.out, self.offset]
@@ -326,7 +336,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     speaker = spark.sparkContext.broadcast(language.fit(rows.filter(language.fold(F.col("doc_id")) > 1).select("lang", "text")))
 
     def run(batches):
-        scorer = Scorer(classifier.value, speaker.value)
+        scorer = classifier.value.scorer(speaker.value)
         for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             score, logs, chars = scorer.read(list(map(text_words, batch.column(1).to_pylist())))
             guess = language.decide(speaker.value, -logs / np.maximum(chars, 1)[:, None], chars)[0]
