@@ -102,3 +102,47 @@ def test_chain_scores_only_rows_from_the_cut_on(dialect, monkeypatch):
     got = {(r, t, round(s, 10), bool(sure)) for r, t, _, s, sure in zip(*worker.score(a))}
     assert got == want
     assert sum(x.size for x in scored) == reached < 30 * 300
+
+
+def metadata_rows(n, prefix, anchor=False):
+    rng = np.random.default_rng(n)
+    out = Rows.__new__(Rows)
+    out.ids = np.array([f"{prefix}{i:04d}" for i in range(n)], dtype=object)
+    out.x = np.column_stack([np.where(rng.random(n) < 0.1, np.nan, rng.integers(1990, 1994, n)), np.where(rng.random(n) < 0.1, np.nan, rng.integers(9, 12, n) * 1e4)])
+    out.s = np.array([[f"e{i // 50}", "pop", f"artist {i % 7}", f"a{i % 7}\u0001a{i % 3}", f"c{i:04d}"][:5 if anchor else 4] for i in range(n)], dtype=object)
+    out.p, out.used, out._coded = np.full((n, 1), 0.5), [None] * n, {}
+    return out
+
+
+@pytest.mark.parametrize("mode", ["similar", "personalized"])
+def test_metadata_lists_do_not_sort_whole_blocks(mode, monkeypatch):
+    """Fifty rows of each edition and few different scores: lists must go on behind equal scores and repeated editions."""
+    a, cands = metadata_rows(20, "q", True), metadata_rows(1500, "c")
+    a.used = [[["pop"] if i % 2 else [], ["artist 3", "artist 3"] if i % 3 else []] for i in range(20)]
+    worker = kernels.Metadata(cands, mode, 12, (0.65, 0.10, 0.25))
+    seen = cands.take(0, 200)
+    worker.feed(0, seen)
+    want = []
+    for i in range(20):
+        rows = []
+        for j in range(1500):
+            year, length = a.x[i]
+            year, length = (2005 if np.isnan(year) else year), (210_000 if np.isnan(length) else length)
+            other = [own if np.isnan(value) else value for value, own in zip(worker.c.x[j], (year, length))]
+            era = 0.65 * np.exp(-abs(other[0] - year) / 12) + 0.35 * np.exp(-abs(other[1] - length) / 120_000)
+            shared = float(bool(set(a.s[i, 3].split("\u0001")) & set(worker.c.s[j, 3].split("\u0001"))))
+            total = 0.65 * 0.5 + 0.10 * shared + 0.25 * era
+            if mode == "personalized" and (a.used[i][0] or a.used[i][1]):
+                liked = min(1.0, (worker.c.s[j, 1] in a.used[i][0]) + 0.35 * (worker.c.s[j, 2] in a.used[i][1]))
+                total = 0.40 * liked + 0.20 * 0.5 + 0.40 * (0.625 * era + 0.375 * (0.15 if j < 200 else 1.0))
+            if worker.c.s[j, 0] != a.s[i, 0] and worker.c.ids[j] != a.s[i, 4]:
+                rows.append((-round(min(1.0, total), 4), worker.c.ids[j], worker.c.s[j, 0]))
+        taken = {}
+        for row in sorted(rows):
+            taken.setdefault(row[2], row)
+        want += [(a.ids[i], row[1], row[2], -row[0]) for row in list(taken.values())[:12]]
+    sizes, real = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *args, **more: sizes.append(np.size(x)) or real(x, *args, **more))
+    got = [(r, t, e, round(s, 4)) for r, t, e, s, *_ in zip(*worker.score(a))]
+    assert got == want
+    assert max(sizes) <= 1500  # a row at a time, not the matrix
