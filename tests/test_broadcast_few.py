@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tonearm.operators import learned as le, library as li
+from tonearm.operators import frames as fr, learned as le, library as li
 from tonearm.session import broadcast_few
 
 
@@ -50,3 +50,15 @@ def test_learned_rerank_equals_the_shuffled_form(spark, monkeypatch):
             few = key(le.learned_rerank(rows, index, "transition", said).collect())
             shuffled(m, le)
             assert few == key(le.learned_rerank(rows, index, "transition", said).collect()) and len(few) == 4
+
+
+def test_plan_compatibility_equals_the_shuffled_form(spark, monkeypatch):
+    names = ["bpm", "tempo_confidence", "beat_regularity", "energy", "brightness", "tonal_strength", "spectral_flatness"]
+    profiles = spark.createDataFrame([(i, *[100.0 + i, 0.9, 0.8, 40.0 + i, 0.5, 0.4, 0.3], [float(j == i) for j in range(12)]) for i in range(3)],
+                                     "track_id bigint, " + ", ".join(f"{n} double" for n in names) + ", chroma array<double>")
+    bass = spark.createDataFrame([(0, 0.2), (1, 0.4)], "track_id bigint, mean_bass double")
+    pairs = spark.createDataFrame([("a", 0, 1), ("b", 1, 2), ("c", 2, 0), ("d", 0, 9), ("e", None, 1)], "pair_id string, out_id bigint, in_id bigint")
+    columns = ["pair_id", "out_id", "in_id", "mode", "compatibility", "wanted", "playback_rate"]
+    few = key(fr.plan_compatibility(pairs, profiles, bass).select(columns).collect())
+    shuffled(monkeypatch, fr)
+    assert few == key(fr.plan_compatibility(pairs, profiles, bass).select(columns).collect()) and len(few) == 3
