@@ -311,3 +311,38 @@ def test_stages(spark, request, which):
 @pytest.mark.parametrize("operator", [quality.host_rules, substrings.substring_report, near.near_duplicates, tokens.token_trees])
 def test_empty(empty, operator):
     assert operator(empty).count() == 0
+
+
+def longest_doubled(rows, length=13):
+    """Words of the longest window of ``length`` times a power of two that also starts in a row with a smaller id."""
+    texts = [(r[0], r[1].split()) for r in rows]
+    out, size = {doc: 0 for doc, _ in texts}, length
+    while size <= max(len(words) for _, words in texts):
+        first = {}
+        for doc, words in texts:
+            for i in range(len(words) - size + 1):
+                w = tuple(words[i:i + size])
+                first[w] = min(first.get(w, doc), doc)
+        for doc, words in texts:
+            if any(first[tuple(words[i:i + size])] < doc for i in range(len(words) - size + 1)):
+                out[doc] = size
+        size *= 2
+    return out
+
+
+def test_substrings_longest_is_exact(spark):
+    rng = random.Random(7)
+    new = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    rows, doc = [], 0
+    for size in (12, 13, 25, 26, 27, 39, 51, 52, 100, 104, 300):
+        for _ in range(4):  # many passages of each size: no start may be left out
+            passage = new(size)
+            rows += [(doc, new(rng.randrange(40)) + passage + new(rng.randrange(40))), (doc + 1, new(rng.randrange(9)) + passage)]
+            doc += 2
+    long = new(220)
+    rows += [(doc, long), (doc + 1, long), (doc + 2, long[:150] + new(1) + long[150:]), (doc + 3, long[:60] + rows[-1][1]), (doc + 4, long[:40] * 3)]
+    rows = [(d, " ".join(words)) for d, words in rows]
+    want = longest_doubled(rows)
+    assert {0, 13, 26, 52, 104, 208} == set(want.values())
+    found = substrings.substring_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: r["longest"] for r in found} == want

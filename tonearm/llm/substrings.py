@@ -13,14 +13,15 @@ inside its own batch: of equal windows there only those of the smallest document
 are sent on, so a passage that thousands of documents share sends a few entries
 per batch, and no bucket grows with its copies.
 
-Longer levels start at content-chosen windows (one in 4^(level+1), by the hash of
-the window itself): equal passages choose equal starts and each level is a
-quarter of the one before.  They cannot change what is removed (the words of a
-repeated long window lie in repeated short ones); they tell how long the
-repeated passages are.
+Longer levels take every window whose level-0 windows are all shared, at every
+start, and are dealt, settled and judged as level 0 is; the seed of a doubled
+window is the smaller of its halves' seeds.  A text whose words as a whole also
+are a smaller document's needs no windows there: its windows are that document's.
+Longer levels cannot change what is removed (the words of a repeated long window
+lie in repeated short ones); they tell how long the repeated passages are.
 
-Words are compared by 64-bit hashes; windows by ``hash_bytes`` bytes within a
-bucket at level 0, and by 128 bits above.
+Words are compared by 64-bit hashes; windows of all levels by ``hash_bytes``
+bytes within a bucket.
 
 Null texts have no words.  Null ids count as larger than all others.  Rows with
 the same id have equal rank: they never make each other repeated.  Texts shorter
@@ -31,12 +32,12 @@ text are read.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tonearm.llm.common import Rolling, U64, WordHashes, as_bytes, fresh, mixed, table
@@ -50,6 +51,8 @@ BATCH_BYTES = 8 << 20
 BUCKET_CHARS = 4 << 20
 LAST = (1 << 63) - 1
 SALT = U64(0xA0761D6478BD642F)
+#: Longer windows that one batch settles among its own documents.
+BATCH_WINDOWS = 1 << 20
 #: Windows of one entry: two masks of so many bits fit a long with the start.
 ENTRY_WINDOWS = 16
 
@@ -106,19 +109,20 @@ def _masks(flags: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(flags.astype(np.int64) << within, at)
 
 
-def blocks_of(windows, buckets: int, hash_bytes: int):
-    """Packed entries of a batch: one row per bucket."""
+def blocks_of(windows, buckets: int, hash_bytes: int, levels: np.ndarray | None = None):
+    """Packed entries of a batch: one row per bucket.  With ``levels`` these go in the place of the starts."""
     docs, keys, starts, hashes, seeds, seed_at = windows
     repeated, shared = settle(docs, hashes)
     at, counts = entries_of(docs, keys, starts, seed_at)
     later, first = _masks(repeated, at, counts), _masks(shared, at, counts)
     bucket = (mixed(seeds[at] ^ SALT) % U64(buckets)).astype(np.int64)
+    told = starts if levels is None else levels
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
     for piece in np.split(order, edges[1:]):
         n = counts[piece]
         rows = np.repeat(at[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield (int(bucket[piece[0]]), docs[at[piece]].tobytes(), keys[at[piece]].tobytes(), starts[at[piece]].astype(np.int32).tobytes(),
+        yield (int(bucket[piece[0]]), docs[at[piece]].tobytes(), keys[at[piece]].tobytes(), told[at[piece]].astype(np.int32).tobytes(),
                n.astype(np.uint8).tobytes(), later[piece].astype(np.uint16).tobytes(), first[piece].astype(np.uint16).tobytes(),
                _packed(hashes[rows[~repeated[rows]]], hash_bytes))
 
@@ -149,7 +153,10 @@ class Windows:
         self.seed = min(SEED_WORDS, length)
 
     def of(self, rows):
-        """All windows of (doc, key, text) rows as flat arrays; None if there are none."""
+        """All windows of (doc, key, text) rows as flat arrays; None if there are none.
+
+        The one after the last of a text stands for all its words.
+        """
         ids, found = [], []
         for doc, key, text in rows:
             words = text.split()
@@ -158,8 +165,9 @@ class Windows:
             prefix = self.rolling.prefix(self.words.of(words))
             window = self.rolling.windows(prefix, self.length)
             place, seed = seeds_of(self.rolling.windows(prefix, self.seed), self.length - self.seed + 1)
-            ids.append((doc, key, len(window)))
-            found.append((window, seed, place.astype(np.int32)))
+            whole = mixed(self.rolling.windows(prefix, len(words)) ^ mixed(np.array([len(words)], U64)))
+            ids.append((doc, key, len(window) + 1))
+            found.append((np.append(window, whole), np.append(seed, whole), np.append(place, len(words)).astype(np.int32)))
         if not found:
             return None
         doc, key, n = zip(*ids)
@@ -168,23 +176,48 @@ class Windows:
         return (np.repeat(np.array(doc, np.int64), n), np.repeat(np.array(key, np.int32), n), starts, *map(np.concatenate, zip(*found)))
 
     def longer(self, words, shared: np.ndarray):
-        """(level, hash, second hash, start) of the chosen longer windows whose two halves at level 0 are shared."""
-        hashes = self.words.of(words)
-        prefix, second = self.rolling.prefix(hashes), None
-        window = self.rolling.windows(prefix, self.length)
+        """(level, starts, hashes, seeds, their places) of all longer windows whose windows at level 0 are all shared."""
+        held, hashed = np.concatenate([[0], np.cumsum(shared)]), False
         level, size = 1, 2 * self.length
         while size <= len(words):
-            n = len(words) - size + 1
-            chosen = (window[:n] & U64(4 ** min(level + 1, 31) - 1)) == 0
-            at = np.flatnonzero(chosen & shared[:n] & shared[size - self.length:size - self.length + n])
+            n, half, need = len(words) - size + 1, size // 2, size - self.length + 1
+            at = np.flatnonzero(held[need:need + n] - held[:n] == need)
             if not len(at):
                 break
-            if second is None:
-                second = self.rolling.prefix(mixed(hashes ^ SALT))
-            yield level, self.rolling.at(prefix, at, size), self.rolling.at(second, at, size), at
+            if not hashed:
+                prefix, hashed = self.rolling.prefix(self.words.of(words)), True
+                place, seed = seeds_of(self.rolling.windows(prefix, self.seed), self.length - self.seed + 1)
+            right = seed[half:half + n] < seed[:n]
+            place, seed = np.where(right, place[half:half + n], place[:n]), np.where(right, seed[half:half + n], seed[:n])
+            yield level, at, self.rolling.at(prefix, at, size), seed[at], place[at]
             level, size = level + 1, 2 * size
 
 
+class Longer:
+    """Collects the longer windows of texts and packs them."""
+
+    def __init__(self, maker: Windows):
+        self.maker, self.rows, self.size = maker, [], 0
+
+    def add(self, doc: int, key: int, words, shared: np.ndarray):
+        for level, at, hashes, seeds, place in self.maker.longer(words, shared):
+            self.rows.append((doc, key, level, at, hashes, seeds, place))
+            self.size += len(at)
+
+    def blocks(self, buckets: int, hash_bytes: int) -> list:
+        """Packed entries of what was collected, one row per bucket; a new batch begins."""
+        rows, self.rows, self.size = self.rows, [], 0
+        if not rows:
+            return []
+        doc, key, level, at, hashes, seeds, place = zip(*rows)
+        n = [len(a) for a in at]
+        flat = lambda values, kind: np.repeat(np.array(values, kind), n)
+        levels = flat(level, np.int64)
+        windows = (flat(doc, np.int64), flat(key, np.int32), np.concatenate(at), np.concatenate(hashes), np.concatenate(seeds),
+                   np.concatenate(place) + (levels << 40))  # windows of two levels share no entry
+        return list(blocks_of(windows, buckets, hash_bytes, levels))
+
+
 def _batches(batches, most: int):
     """(doc, key, text) rows in lists of at most ``most`` bytes of text (a longer text is alone)."""
     rows, size = [], 0
@@ -206,13 +239,30 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple:
     return (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.hash(F.col(text_col)))
 
 
+def buckets_for(docs: DataFrame, text_col: str) -> int:
+    """How many buckets the windows of ``docs`` are dealt to."""
+    chars = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+
+
+def judged_buckets(batches, hash_bytes: int):
+    """docs, keys, marks of each bucket of blocks that arrive by bucket."""
+    def rows():
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield [column[i].as_py() for column in batch.columns]
+
+    for _, group in groupby(rows(), key=lambda r: r[0]):
+        yield judge_bucket([*zip(*group)][1:], hash_bytes)
+
+
 def shared_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   hash_bytes: int = HASH_BYTES) -> DataFrame:
+                   hash_bytes: int = HASH_BYTES, buckets: int | None = None) -> DataFrame:
     """doc, key, mark: mark holds a start (high 32 bits) and two masks over the windows that start there and after:
-    shared ones in the smallest document that has them (16 bits), repeated ones (low 16 bits)."""
-    spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+    shared ones in the smallest document that has them (16 bits), repeated ones (low 16 bits).  The window after the last
+    of a text stands for all its words."""
+    if buckets is None:
+        buckets = buckets_for(docs, text_col)
 
     def send(batches):
         maker = Windows(length)
@@ -223,13 +273,7 @@ def shared_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(blocks, BLOCK)], schema=BLOCK)
 
     def judge(batches):
-        def rows():
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    yield [column[i].as_py() for column in batch.columns]
-
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            found = judge_bucket([*zip(*group)][1:], hash_bytes)
+        for found in judged_buckets(batches, hash_bytes):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["doc", "key", "mark"])
 
     rank, key = _keyed(docs, id_col, text_col)
@@ -238,10 +282,10 @@ def shared_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return dealt.mapInArrow(judge, "doc long, key int, mark long")
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, length: int, hash_bytes: int) -> tuple[DataFrame, str]:
+def marked(docs: DataFrame, id_col: str, text_col: str, length: int, hash_bytes: int, buckets: int | None = None) -> tuple[DataFrame, str]:
     """``docs`` with one column more, the marks of each row's text (null: none), and that column's name."""
     doc, own, name = fresh(docs, "__doc", "__key", "__marks")
-    marks = shared_windows(docs, id_col, text_col, length, hash_bytes).groupBy(
+    marks = shared_windows(docs, id_col, text_col, length, hash_bytes, buckets).groupBy(
         F.col("doc").alias(doc), F.col("key").alias(own)).agg(F.collect_set("mark").alias(name))
     rank, key = _keyed(docs, id_col, text_col)
     return docs.join(marks, (rank == marks[doc]) & (key == marks[own]), "left").drop(doc, own), name
@@ -273,61 +317,87 @@ def kept_words(words: list, marks, length: int) -> list:
     return [w for w, g in zip(words, gone.tolist()) if not g]
 
 
-REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string, doc long, key int, longer array<struct<level:int,h1:long,h2:long,start:int>>"
+OWN = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
+                 ("doc", pa.int64()), ("key", pa.int32()), ("least", pa.int32())])
+OWN_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, doc long, key int, least int"
+JUDGED = pa.schema([*OWN, ("longest", pa.int32())])
+
+
+def _rows_of(schema: pa.Schema, names: list, columns) -> pa.RecordBatch:
+    """A batch of ``schema`` with the named columns; the others are null."""
+    known = {name: pa.array(c, schema.field(name).type) for name, c in zip(names, columns)}
+    n = len(known[names[0]])
+    return pa.RecordBatch.from_arrays([known[f.name] if f.name in known else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                      hash_bytes: int = HASH_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and ``longest`` (words of the longest doubled window that is repeated; 0 if
     none is) of every row."""
-    longer = pa.list_(pa.struct([("level", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
-                        ("doc", pa.int64()), ("key", pa.int32()), ("longer", longer)])
+    schema = pa.schema([*OWN, *BLOCK])
+    buckets = buckets_for(docs, text_col)
 
     def report(batches):
         maker = Windows(length)
+        longer = Longer(maker)
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             rows = []
             for doc_id, text, doc, key, marks in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(),
                                                      batch.column(3).to_pylist(), batch.column(4)):
-                words, extended = (text or b"").split(), []
-                kept = words
+                words = (text or b"").split()
+                kept, least = words, 0
                 if marks.is_valid and len(words) >= length:
-                    values = marks.values.to_numpy(zero_copy_only=False)
+                    values, n = marks.values.to_numpy(zero_copy_only=False), len(words) - length + 1
                     kept = kept_words(words, values, length)
-                    _, shared = window_flags(values, len(words) - length + 1)
-                    for level, h1, h2, at in maker.longer(words, shared):
-                        extended += [{"level": level, "h1": a, "h2": b, "start": c}
-                                     for a, b, c in zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist(), at.tolist())]
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), doc, key, extended))
+                    repeated, shared = window_flags(values, n + 1)
+                    if repeated[n]:  # all its words are a smaller document's
+                        least = length << ((len(words) // length).bit_length() - 1)
+                    else:
+                        least = length if repeated.any() else 0
+                        longer.add(doc, key, words, shared[:n])
+                        if longer.size >= BATCH_WINDOWS:
+                            yield _rows_of(schema, BLOCK.names, zip(*longer.blocks(buckets, hash_bytes)))
+                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), doc, key, least))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                columns = [*zip(*rows)]
+                at = (mixed(np.array(columns[4], np.int64).view(U64)) % U64(buckets)).astype(np.int64)  # own rows are spread over the buckets
+                yield _rows_of(schema, [*OWN.names, "bucket"], [*columns, at])
+        if longer.size:
+            yield _rows_of(schema, BLOCK.names, zip(*longer.blocks(buckets, hash_bytes)))
+
+    def judge(batches):
+        own = []
+
+        def blocks():
+            for batch in batches:
+                mine = batch.column("docs").is_null()
+                own.append(batch.filter(mine).select(OWN.names))
+                yield batch.filter(pc.invert(mine)).select(BLOCK.names)
+
+        def passed():
+            while own:
+                rows = own.pop()
+                yield _rows_of(JUDGED, OWN.names, rows.columns)
+
+        for found, keys, marks in judged_buckets(blocks(), hash_bytes):
+            yield from passed()
+            again = marks & 0xFFFF != 0
+            found, keys, sizes = found[again], keys[again], (length << (marks[again] >> 32)).astype(np.int32)
+            order = np.lexsort((sizes, keys, found))
+            found, keys, sizes = found[order], keys[order], sizes[order]
+            last = np.append((found[1:] != found[:-1]) | (keys[1:] != keys[:-1]), np.ones(min(1, len(found)), bool))
+            yield _rows_of(JUDGED, ["doc", "key", "longest"], (found[last], keys[last], sizes[last]))
+        yield from passed()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows, name = marked(chosen, "doc_id", "text", length, hash_bytes)
+    rows, name = marked(chosen, "doc_id", "text", length, hash_bytes, buckets)
     rank, key = _keyed(rows, "doc_id", "text")
-    judged = materialize(rows.select("doc_id", "text", rank.alias("doc"), key.alias("key"), name).mapInArrow(report, REPORT))
-    longest = _longest(judged, length)
-    return (judged.drop("longer").join(longest, ["doc", "key"], "left").drop("doc", "key")
-            .withColumn("longest", F.when(F.col("n_removed") == 0, F.lit(0)).otherwise(F.coalesce("longest", F.lit(length)))))
-
-
-def _longest(judged: DataFrame, length: int) -> DataFrame:
-    """doc, key, longest: the doubling loop.  A candidate is extended only while its window of the level before is shared."""
-    chosen = judged.select("doc", "key", F.explode("longer").alias("w")).select("doc", "key", "w.*")
-    alive, reached, level = None, [], 0
-    while True:
-        level += 1
-        windows = chosen.filter(F.col("level") == level)
-        if alive is not None:
-            windows = windows.join(alive, ["doc", "key", "start"], "left_semi")
-        groups = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(F.col("first") < F.col("last"))
-        alive = materialize(windows.join(groups, ["h1", "h2"]).select("doc", "key", "start", (F.col("doc") > F.col("first")).alias("repeated")))
-        if alive.isEmpty():
-            break
-        reached.append(alive.filter("repeated").select("doc", "key", F.lit(length << level).alias("longest")))
-    empty = judged.sparkSession.createDataFrame([], "doc long, key int, longest int")
-    return reduce(DataFrame.unionByName, reached, empty).groupBy("doc", "key").agg(F.max("longest").alias("longest"))
+    reported = rows.select("doc_id", "text", rank.alias("doc"), key.alias("key"), name).mapInArrow(report, f"{OWN_SQL}, {BLOCK_SQL}")
+    dealt = reported.repartition("bucket").sortWithinPartitions("bucket")
+    judged = materialize(dealt.mapInArrow(judge, f"{OWN_SQL}, longest int"))
+    longest = judged.filter(F.col("n_words").isNull()).groupBy("doc", "key").agg(F.max("longest").alias("longest"))
+    own = judged.filter(F.col("n_words").isNotNull()).drop("longest")
+    return own.join(longest, ["doc", "key"], "left").withColumn("longest", F.greatest("longest", "least")).drop("doc", "key", "least")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
