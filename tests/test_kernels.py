@@ -104,6 +104,30 @@ def test_chain_scores_only_rows_from_the_cut_on(dialect, monkeypatch):
     assert sum(x.size for x in scored) == reached < 30 * 300
 
 
+@pytest.mark.parametrize("dialect", ["hosted", "classic"])
+def test_rough_scores_are_found_without_a_scan(dialect, monkeypatch):
+    """Bins down to the shortlist as by scoring everything, though few rows of a large block are looked at."""
+    rng = np.random.default_rng(9)
+    p = np.column_stack([rng.choice([0.1, 0.5, 1.0], (30, 2)), rng.choice([0.25, 0.7, 1.0], (30, 2))])
+    a, cands = asks(30, p, 11), some_rows(6000, "c", 12)
+    a, _ = kernels.second(a, a.x.shape[1] // 2, len(kernels.TEXTS))
+    a.p, a.used = p, [[[f"c{rng.integers(6000):04d}"], [f"identity{rng.integers(6000)}"], ["artist_key1"]] for _ in range(30)]
+    a.x[:3, AT["bpm"]] = 0.0, -5.0, 1e9
+    cands.x[:40, AT["bpm"]], cands.x[40:80, AT["bpm"]] = 0.0, 600.0
+    worker = kernels.ChainBins(cands, dialect, 100)
+    rough = kernels.rough_score(a, worker.c, p[:, 2][:, None], p[:, 0][:, None], dialect)[0]
+    want = set()
+    for i, (ids, recordings, _) in enumerate(a.used):
+        bins, n = np.unique(kernels.rough_bins(rough[i])[worker.free(ids, recordings)], return_counts=True)
+        above = n[::-1].cumsum()[::-1] - n
+        want |= {(a.ids[i], b, m) for b, m, more in zip(bins, n, above) if more < 100}
+    looked, real = [], kernels.tempo_fit
+    monkeypatch.setattr(kernels, "tempo_fit", lambda *args: looked.append(real(*args)) or looked[-1])
+    got = {(r, b, m) for r, bins, counts in zip(*(list(c) if isinstance(c, list) else c.to_pylist() for c in worker.score(a))) for b, m in zip(bins, counts)}
+    assert got == want
+    assert sum(x.size for x in looked) < 30 * 6000 / 3
+
+
 def metadata_rows(n, prefix, anchor=False):
     rng = np.random.default_rng(n)
     out = Rows.__new__(Rows)
