@@ -76,6 +76,25 @@ def test_bounded_bridge_equals_scoring_everything(dialect, step, monkeypatch):
     assert sum(scored) < 2 * 30 * 300 * 0.5
 
 
+def test_bridges_share_what_previous_tracks_and_destinations_reach(monkeypatch):
+    rng = np.random.default_rng(13)
+    p = np.column_stack([rng.choice([0.25, 0.7, 1.0], (40, 5)), rng.uniform(0, 100, 40), rng.random(40), np.ones(40)])
+    a, width, texts = asks(40, p, 14), kernels.THEMES + 5, len(kernels.TEXTS)
+    a.x = np.hstack([a.x[np.arange(40) % 3, :width], a.x[np.arange(40) % 4, width:]])
+    a.s = np.hstack([a.s[np.arange(40) % 3, :texts], a.s[np.arange(40) % 4, texts:]])
+    worker = kernels.Bridge(some_rows(500, "c", 15), 2, "hosted")
+    told = lambda rows: [(r, t, round(s, 10)) for r, t, s in zip(*worker.score(rows))]
+    alone = [told(a.take(i, i + 1))[0] for i in range(40)]
+    bounded, real = [], kernels.handoff_bound
+    monkeypatch.setattr(kernels, "handoff_bound", lambda x, *more: bounded.append(len(x)) or real(x, *more))
+    assert told(a) == alone
+    assert sum(bounded) == 3 + 4
+    a.p = np.column_stack([a.p, [score for _, _, score in alone]])  # found elsewhere: equal scores are still told
+    assert told(a) == alone
+    a.p[:, 8] += 1e-6
+    assert all(score < least for score, least in zip((worker.score(a) or [[], [], []])[2], a.p[:, 8]))
+
+
 @pytest.mark.parametrize("dialect", ["hosted", "classic"])
 def test_chain_scores_only_rows_from_the_cut_on(dialect, monkeypatch):
     rng = np.random.default_rng(6)
